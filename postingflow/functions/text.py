@@ -60,8 +60,9 @@ def normalize_text(c: Column) -> Column:
 
 
 def _entity_table() -> Column:
+    """Name to code point; one foldable expression, so plans stay small."""
     pairs = dict(html.entities.name2codepoint, apos=39)
-    return F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
+    return F.str_to_map(F.lit(" ".join(f"{n}:{c}" for n, c in sorted(pairs.items()))), F.lit(" "), F.lit(":"))
 
 
 def html_unescape(c: Column) -> Column:
@@ -73,7 +74,7 @@ def html_unescape(c: Column) -> Column:
         code = (
             F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("int"))
             .when(body.startswith("#"), F.substring(body, 2, 8).cast("int"))
-            .otherwise(F.try_element_at(table, body))
+            .otherwise(F.try_element_at(table, body).cast("int"))
         )
         usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")

@@ -59,29 +59,36 @@ def _summary(kind: str, value: Column, seq: Column, reverse: bool) -> Column:
 
 def prefix_scan(
     df: DataFrame, keys: list[str], seq: str, specs: dict[str, tuple[str, Column]], reverse: bool = False,
-    width: int = CHUNK,
+    span: int | None = None,
 ) -> DataFrame:
     """Add, per key, the running last/min/max of a value over the rows strictly before each row.
 
     Two levels: inside chunks of `seq`, then over one summary per chunk. No window sees more than
-    `width` rows of a key, nor more than one row per chunk. `reverse` scans from the end instead.
+    CHUNK rows of a key, nor more than one row per chunk. `span` is a known bound of `seq`: below
+    CHUNK one window is enough. `reverse` scans from the end instead.
     """
     inputs = {f"_in_{name}": value for name, (_, value) in specs.items()}
-    base = df.withColumns({**inputs, "_chunk": F.floor(F.col(seq) / width)})
     direction = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inner = (
-        Window.partitionBy(*keys, "_chunk").orderBy(direction(seq)).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    outer = Window.partitionBy(*keys).orderBy(direction("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(part: list[str], order: str):
+        return Window.partitionBy(*part).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
+
+    if span is not None and span < CHUNK:
+        base = df.withColumns(inputs)
+        out = base.withColumns({n: _running(k, F.col(f"_in_{n}")).over(before(keys, seq)) for n, (k, _) in specs.items()})
+        return out.select(*df.columns, *specs)
+
+    base = df.withColumns({**inputs, "_chunk": F.floor(F.col(seq) / CHUNK)})
+    inner = before([*keys, "_chunk"], seq)
     local = base.withColumns({f"_loc_{n}": _running(k, F.col(f"_in_{n}")).over(inner) for n, (k, _) in specs.items()})
     summaries = base.groupBy(*keys, "_chunk").agg(
         *[_summary(k, F.col(f"_in_{n}"), F.col(seq), reverse).alias(f"_sum_{n}") for n, (k, _) in specs.items()]
     )
     carried = summaries.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
-        *[_running(k, F.col(f"_sum_{n}")).over(outer).alias(f"_car_{n}") for n, (k, _) in specs.items()],
+        *[_running(k, F.col(f"_sum_{n}")).over(before(keys, "_chunk")).alias(f"_car_{n}") for n, (k, _) in specs.items()],
     )
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
     joined = local.join(carried, on, "left")
 
     def combine(name: str, kind: str) -> Column:
@@ -92,3 +99,28 @@ def prefix_scan(
 
     out = joined.withColumns({n: combine(n, k) for n, (k, _) in specs.items()})
     return out.select(*df.columns, *specs)
+
+
+HOT_ROWS = 1 << 20
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Equi-join of many rows to one row per key, with hot keys of `left` split over several tasks.
+
+    A key is hot above HOT_ROWS rows, so there are at most rows/HOT_ROWS of them: that list is what is
+    broadcast. Hot left rows get a salt from their own values (the same on a retry); only the matching
+    right rows are repeated, once per salt. Null keys match nothing and are spread. With `rows`, a known
+    size of `left` below HOT_ROWS, no key can be hot and a plain join is used.
+    """
+    if rows is not None and rows <= HOT_ROWS:
+        return left.join(right, on, how)
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    hot = F.broadcast(counted.select(*on, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_salts")))
+    spread = F.xxhash64(*[c for c, kind in left.dtypes if "map" not in kind and "variant" not in kind])
+    missing = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    salts = F.when(missing, F.lit(256)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = left.join(hot, on, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
+    repeated = right.join(hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    ).drop("_salts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
