@@ -164,7 +164,7 @@ def extract_listing(pages: DataFrame, url_pattern: str | None = None, posting_hr
         .unionByName(tier(jw.listing_jsonld_rows, "jsonld", 2, 1))
         .unionByName(extract_anchors(pages, posting_href).withColumn("tier", F.lit(3)))
     )
-    return first_per_key(accepted(tiers), ["page_id"], F.col("url"), ["tier", "ord"])
+    return first_per_key(accepted(tiers), ["page_id"], F.col("url"), ["tier", "ord"]).drop("tier")
 
 
 def extract_anchor_tail(pages: DataFrame, company: str = "TOTVS") -> DataFrame:

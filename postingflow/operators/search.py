@@ -68,6 +68,10 @@ def _query_tokens(q: str | None) -> list[str]:
     return kept.split()
 
 
+def _near(column: str, word: str, slack: int) -> Column:
+    return F.exists(column, lambda t: F.levenshtein(t, F.lit(word), slack) >= 0)
+
+
 def match_text(docs: DataFrame, q: str | None, typos: bool = False) -> DataFrame:
     """Keep documents in which every query word occurs (the last one as a prefix) and add `score`.
 
@@ -90,7 +94,7 @@ def match_text(docs: DataFrame, q: str | None, typos: bool = False) -> DataFrame
         best = F.lit(0.0)
         for column, weight in reversed(fields):
             if slack:
-                near = F.exists(column, lambda t, w=word, s=slack: F.levenshtein(t, F.lit(w), s) >= 0)
+                near = _near(column, word, slack)
                 best = F.when(near, F.greatest(best, F.lit(weight - 0.5))).otherwise(best)
             best = F.when(found(column), F.greatest(best, F.lit(weight))).otherwise(best)
         hits.append(best)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from postingflow.schema import STATE_SCHEMA
 
@@ -51,7 +51,7 @@ def read_versioned(spark: SparkSession, path: str, schema: StructType, key: str
     """Latest row per key over the base and the deltas after it."""
     base, last = _bounds(spark, path)
     names = [f.name for f in schema.fields]
-    stored = StructType(schema.fields).add("_version", "long")
+    stored = StructType([*schema.fields, StructField("_version", LongType())])
     frame = spark.read.schema(stored).parquet(f"{path}/base/v{base}") if base else spark.createDataFrame([], stored)
     versions = [r.version for r in _manifest(spark, path).filter(
         (F.col("kind") == "delta") & (F.col("version") > base)).select("version").collect()]

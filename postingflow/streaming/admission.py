@@ -88,9 +88,9 @@ def admit_stream(requests: DataFrame, limits: dict[str, int] = LIMITS, window: s
             yield frame
 
     cols = ["request_id", "policy", "key", "ts"]
-    keyed = requests.select(*cols).withWatermark("ts", late).withColumn("window_start", F.window("ts", window).start)
-    judged = keyed.mapInPandas(prune, "request_id string, policy string, key string, ts timestamp, window_start timestamp, over boolean")
+    keyed = requests.select(*cols).withColumn("window_start", F.window("ts", window).start)
+    judged = keyed.mapInPandas(prune, "request_id string, policy string, key string, ts timestamp, window_start timestamp, over boolean").withWatermark("ts", late)
     turned = judged.filter("over").select("request_id", "policy", "key", "window_start", "ts", F.lit(False).alias("admitted"))
-    counted = judged.filter(~F.col("over")).withWatermark("ts", late).groupBy("policy", "key", "window_start").transformWithStateInPandas(
+    counted = judged.filter(~F.col("over")).groupBy("policy", "key", "window_start").transformWithStateInPandas(
         statefulProcessor=_Counter(limits), outputStructType=_OUT, outputMode="append", timeMode="eventtime")
     return counted.unionByName(turned)
