@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from postingflow.functions.text import is_blank, normalize_text, null_if_blank, trim_space
+from postingflow.functions.text import is_blank, let, normalize_text, null_if_blank, trim_space
 
 # Fixed value: the listing board's posting URL.
 BOARD_URL = r"(?i)^https://www\.infojobs\.com\.br/vaga-de-.*__\d+\.aspx$"
@@ -68,26 +68,28 @@ def _squash_dots(path: Column) -> Column:
 
 def absolutize(url: Column, base: Column) -> Column:
     """Resolve a reference against the page URL; references with a scheme stay as they are."""
-    ref = trim_space(url)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    base_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    base_path = F.when(base_path == "", F.lit("/")).otherwise(base_path)
-    base_dir = F.regexp_replace(base_path, "[^/]*$", "")
-    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    ref_tail = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(F.concat(base_dir, ref_path))
-    clean = F.when(merged.contains("/."), _squash_dots(merged)).otherwise(merged)
-    bare_host = ref.rlike(r"(?i)^https?://[^/?#]+$")
-    return (
-        F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"),
-               F.when(bare_host, F.concat(ref, F.lit("/"))).otherwise(ref))
-        .when(ref.startswith("//"), F.concat(scheme, ref))
-        .when(ref == "", base)
-        .when(ref.startswith("?"), F.concat(origin, base_path, ref))
-        .when(ref.startswith("#"), F.concat(F.substring_index(base, "#", 1), ref))
-        .otherwise(F.concat(origin, clean, ref_tail))
-    )
+    page = r"^([a-zA-Z][a-zA-Z0-9+.-]*:)(//[^/?#]*)?([^?#]*)"
+    parts = F.struct(
+        trim_space(url).alias("ref"), base.alias("base"), F.regexp_extract(base, page, 1).alias("scheme"),
+        F.regexp_extract(base, page, 2).alias("host"), F.coalesce(_group(base, page, 3), F.lit("/")).alias("path"))
+
+    def resolved(p: Column) -> Column:
+        ref = p["ref"]
+        origin = F.concat(p["scheme"], p["host"])
+        path = F.regexp_extract(ref, r"^([^?#]*)", 1)
+        merged = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(p["path"], "[^/]*$", ""), path))
+        clean = let(merged, lambda m: F.when(m.contains("/."), _squash_dots(m)).otherwise(m))
+        return (
+            F.when(ref.rlike(r"(?i)^https?://[^/?#]+$"), F.concat(ref, F.lit("/")))
+            .when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(p["scheme"], ref))
+            .when(ref == "", p["base"])
+            .when(ref.startswith("?"), F.concat(origin, p["path"], ref))
+            .when(ref.startswith("#"), F.concat(F.substring_index(p["base"], "#", 1), ref))
+            .otherwise(F.concat(origin, clean, F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)))
+        )
+
+    return let(parts, resolved)
 
 
 def workday_detail_path(tenant: Column, site: Column, external_path: Column, job_id: Column) -> Column:

@@ -59,6 +59,11 @@ def normalize_text(c: Column) -> Column:
     return F.trim(t)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`; keeps deep expressions small."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _entity_table() -> Column:
     """Name to code point; one foldable expression, so plans stay small."""
     pairs = dict(html.entities.name2codepoint, apos=39)
@@ -68,18 +73,23 @@ def _entity_table() -> Column:
 def html_unescape(c: Column) -> Column:
     """Decode named and numeric character references in one pass; unknown ones stay as they are."""
     table = _entity_table()
+    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
-    def segment(s: Column) -> Column:
-        body = F.regexp_extract(s, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+    def decoded(ref: Column) -> Column:
+        body, text = ref["body"], ref["text"]
         code = (
-            F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("int"))
-            .when(body.startswith("#"), F.substring(body, 2, 8).cast("int"))
-            .otherwise(F.try_element_at(table, body).cast("int"))
+            F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10))
+            .when(body.startswith("#"), F.substring(body, 2, 8))
+            .otherwise(F.try_element_at(table, body))
         )
-        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = s.substr(F.length(body) + F.lit(2), F.length(s))
-        return F.when(usable, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), s))
+        rest = text.substr(F.length(body) + F.lit(2), F.length(text))
+        return let(code.cast("int"), lambda n: F.when(
+            n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF),
+            F.concat(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"), rest),
+        ).otherwise(F.concat(F.lit("&"), text)))
+
+    def segment(s: Column) -> Column:
+        return let(F.struct(F.regexp_extract(s, reference, 1).alias("body"), s.alias("text")), decoded)
 
     parts = F.split(c, "&")
     decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), segment), ""))

@@ -68,9 +68,10 @@ def run_crawl(
     `postings` holds every stored row the pass touched, ready to be written as a delta.
     """
     usable = skip_js_sources(source_registry(registry))
-    raw = ex.cap_items(extract_all(drop_blocked(pages), usable), usable, max_items)
+    # Raw postings are small next to the pages and are read several times below.
+    raw = cut_lineage(ex.cap_items(extract_all(drop_blocked(pages), usable), usable, max_items))
     if details is not None:
-        raw = ex.enrich_details(raw, drop_blocked(details), usable, max_detail)
+        raw = cut_lineage(ex.enrich_details(raw, drop_blocked(details), usable, max_detail))
     raw = raw.withColumns({"file_name": F.lit(None).cast("string"), "raw_json": F.lit(None).cast("string")})
     if samples is not None:
         raw = raw.unionByName(samples.select(*[f.name for f in RAW_SCHEMA.fields], "file_name", "raw_json"))

@@ -33,6 +33,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        # Column building records a call site per expression otherwise, which dominates large plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("POSTINGFLOW_DRIVER_MEMORY", "8g"))
     )
     for key, value in SETTINGS.items():
