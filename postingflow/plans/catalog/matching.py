@@ -214,7 +214,8 @@ def bulk_requests(spark, folder):
         F.lit(None).cast("timestamp").alias("postedAt"), F.lit(None).cast("map<string,string>").alias("metadata"),
         F.lit(None).cast("string").alias("sourceName"), F.lit(None).cast("string").alias("sourceType"))
     docs = table(spark, folder, "documents").withColumn("batch", F.floor(key / 100))
-    grouped = docs.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("rows"))
+    grouped = docs.groupBy("batch").agg(F.array_sort(
+        F.collect_list(F.struct("doc_id", item.alias("item"))), lambda a, b: (a["doc_id"] - b["doc_id"]).cast("int")).alias("rows"))
     return grouped.select(
         F.format_string("b%06d", "batch").alias("batch_id"), day(F.col("batch")).alias("arrived_at"), F.lit("feed").alias("source_name"),
         F.lit("ExternalIngestion").alias("source_type"), F.col("rows.item").alias("items"))
@@ -321,7 +322,7 @@ def crawl_pass(spark, folder):
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS seq FROM events""")
 def numbered_events(spark, folder):
-    ev = table(spark, folder, "events").select("event_id", (-F.unix_micros("ts")).alias("_back"))
+    ev = table(spark, folder, "events").select("event_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("_back"))
     return number_rows(ev, ["_back", "event_id"]).select("event_id", "seq")
 
 

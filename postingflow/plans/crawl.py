@@ -37,15 +37,12 @@ def register_family(name: str, extractor: Extractor) -> None:
 
 def extract_all(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """Raw postings of all families; each page goes to the extractor of its source's family."""
-    names = registry.select("source_name", F.col("family").alias("_family"))
-    routed = pages.join(names, "source_name")
-    parts = []
-    for family, extractor in FAMILIES.items():
+    # The registry is configuration: at most one row per family comes back.
+    used = {r.family for r in registry.select("family").distinct().collect()}
+    out = pages.sparkSession.createDataFrame([], RAW_SCHEMA)
+    for family in used & set(FAMILIES):
         mine = registry.filter(F.col("family") == family)
-        parts.append(extractor(routed.filter(F.col("_family") == family).drop("_family"), mine))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(FAMILIES[family](pages.join(mine.select("source_name"), "source_name", "left_semi"), mine))
     return out
 
 
