@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from postingflow.functions.text import is_blank, normalize_text, trim_space
+from postingflow.functions.text import is_blank, let, normalize_text, trim_space
 from postingflow.schema import ENUMS, SALARY_TYPE
 
 
@@ -15,16 +15,21 @@ def _joined(*cols: Column) -> Column:
 
 
 def _any_in(text: Column, needles: list[str], whole_words: bool = False) -> Column:
+    inside = reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
     if whole_words:
-        return text.rlike(r"(^|[^\p{L}\p{Nd}])(" + "|".join(needles) + r")($|[^\p{L}\p{Nd}])")
-    return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
+        # The plain test is much cheaper and rules most texts out.
+        return inside & text.rlike(r"(^|[^\p{L}\p{Nd}])(" + "|".join(needles) + r")($|[^\p{L}\p{Nd}])")
+    return inside
 
 
 def _first_label(text: Column, rules: list[tuple[str, list[str]]], whole_words: bool = False) -> Column:
-    out = F.lit("Unknown")
-    for label, needles in reversed(rules):
-        out = F.when(_any_in(text, needles, whole_words), F.lit(label)).otherwise(out)
-    return out
+    def choose(t: Column) -> Column:
+        out = F.lit("Unknown")
+        for label, needles in reversed(rules):
+            out = F.when(_any_in(t, needles, whole_words), F.lit(label)).otherwise(out)
+        return out
+
+    return let(text, choose)
 
 
 # Words that decide each label, in order of priority.
@@ -106,22 +111,21 @@ def _tags(hits: list[tuple[Column, str]]) -> Column:
 def infer_tags(title: Column, description: Column, mode: str = "token") -> Column:
     """Technology tags. 'compat' matches folded needles inside words; 'token' needs word bounds."""
     joined = _joined(title, description)
-    raw = F.lower(joined)
     if mode == "compat":
-        folded = normalize_text(joined)
         table = {".net": "net", "asp.net": "asp net", "c#": "c"}
-        return _tags([(raw.contains(n) | folded.contains(table.get(n, n)), tag) for n, tag in TAG_WORDS])
-    def bounded(needle: str) -> Column:
-        escaped = needle.replace(".", r"\.")
+        both = F.struct(F.lower(joined).alias("raw"), normalize_text(joined).alias("folded"))
+        return let(both, lambda t: _tags([(t["raw"].contains(n) | t["folded"].contains(table.get(n, n)), tag) for n, tag in TAG_WORDS]))
+
+    def bounded(raw: Column, needle: str) -> Column:
         left = "" if needle.startswith(".") else r"(?<![\p{L}\p{Nd}])"
-        return raw.rlike(left + escaped + r"(?![\p{L}\p{Nd}#+])")
-    return _tags([(bounded(n), tag) for n, tag in TAG_WORDS])
+        return raw.contains(needle) & raw.rlike(left + needle.replace(".", r"\.") + r"(?![\p{L}\p{Nd}#+])")
+
+    return let(F.lower(joined), lambda raw: _tags([(bounded(raw, n), tag) for n, tag in TAG_WORDS]))
 
 
 def infer_tags_sample(title: Column, description: Column) -> Column:
     """Sample-file tags: raw text only, nine words."""
-    raw = F.lower(_joined(title, description))
-    return _tags([(raw.contains(n), tag) for n, tag in SAMPLE_TAG_WORDS])
+    return let(F.lower(_joined(title, description)), lambda raw: _tags([(raw.contains(n), tag) for n, tag in SAMPLE_TAG_WORDS]))
 
 
 def parse_amount(c: Column) -> Column:
@@ -150,7 +154,7 @@ def parse_salary(text: Column) -> Column:
 
 def infer_country(location: Column) -> Column:
     """'BR' for a location that names Brazil or one of two states; else null."""
-    hit = _any_in(normalize_text(location), ["brazil", "brasil", "sp", "pr"])
+    hit = let(normalize_text(location), lambda t: _any_in(t, ["brazil", "brasil", "sp", "pr"]))
     return F.when(~is_blank(location) & hit, F.lit("BR"))
 
 

@@ -9,11 +9,16 @@ from pyspark.sql import Column, functions as F
 
 # Regex class body for white space beyond ASCII; Java's \s alone is ASCII only.
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE_CHARS = "".join(
+    chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _KEEP_SPACE = SPACE.replace(" ", "", 1)
 
 
 def _accent_pairs() -> tuple[str, str]:
-    """Lower-case letters that decompose to one base letter plus marks, with that base letter."""
+    """Letters that decompose to one base letter plus marks with that base letter, then all marks.
+
+    `translate` drops what has no counterpart, so one pass folds the letters and removes loose marks.
+    """
     source, target = [], []
     for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
         ch = chr(code)
@@ -24,7 +29,8 @@ def _accent_pairs() -> tuple[str, str]:
         if len(base) == 1 and base != ch and len(decomposed) > 1:
             source.append(ch)
             target.append(base)
-    return "".join(source), "".join(target)
+    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) == "Mn"]
+    return "".join(source + marks), "".join(target)
 
 
 _ACCENTED, _BASE = _accent_pairs()
@@ -32,7 +38,7 @@ _ACCENTED, _BASE = _accent_pairs()
 
 def trim_space(c: Column) -> Column:
     """Trim any white space, not only U+0020."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -54,7 +60,6 @@ def normalize_text(c: Column) -> Column:
     """Fold case, accents and punctuation; blank or null gives ''. Tabs and line breaks inside survive."""
     t = F.lower(trim_space(F.coalesce(c, F.lit(""))))
     t = F.translate(t, _ACCENTED, _BASE)
-    t = F.regexp_replace(t, r"\p{Mn}+", "")
     t = F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}{_KEEP_SPACE}]+", " ")
     return F.trim(t)
 

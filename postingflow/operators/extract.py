@@ -9,7 +9,7 @@ from postingflow.functions.identity import (
     absolutize, board_job_id, escape_segment, is_board_url, last_segment, stable_job_id, url_hash_id,
     workday_detail_path,
 )
-from postingflow.functions.text import collapse_space, html_text, is_blank, normalize_text, null_if_blank, parse_date, trim_space
+from postingflow.functions.text import collapse_space, html_text, is_blank, let, normalize_text, null_if_blank, parse_date, trim_space
 from postingflow.operators.scan import first_n, first_per_key
 from postingflow.schema import RAW_SCHEMA
 
@@ -275,11 +275,10 @@ def extract_gupy(pages: DataFrame, registry: DataFrame) -> DataFrame:
 def detail_description(html: Column) -> Column:
     """Text of a detail page: the marked section when the page names one, else everything."""
     page = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<script.*?</script>", " ")
-    folded = normalize_text(page)
-    marked = F.array_contains(F.transform(F.array(*[F.lit(w) for w in DETAIL_WORDS]), lambda w: folded.contains(w)), True)
-    section = F.regexp_extract(page, DETAIL_BLOCK, 1)
-    has_section = page.rlike(DETAIL_BLOCK)
-    return html_text(F.when(marked & has_section, section).otherwise(page))
+    # The folded text is only needed where a section could be taken at all.
+    marked = let(normalize_text(page), lambda folded: F.greatest(*[folded.contains(w) for w in DETAIL_WORDS]))
+    return html_text(let(page, lambda p: F.when(
+        p.rlike(DETAIL_BLOCK), F.when(marked, F.regexp_extract(p, DETAIL_BLOCK, 1)).otherwise(p)).otherwise(p)))
 
 
 def enrich_details(raw: DataFrame, details: DataFrame, registry: DataFrame, budget: int = 20) -> DataFrame:

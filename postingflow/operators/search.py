@@ -11,6 +11,7 @@ from postingflow.functions.infer import parse_enum
 from postingflow.functions.text import normalize_text, null_if_blank, parse_date, parse_tag_csv
 from postingflow.operators.scan import first_n, spread_join
 from postingflow.schema import ENUMS
+from postingflow.session import cut_lineage
 
 TEXT_FIELDS = ["title", "company", "tags", "locationText"]
 ENUM_FIELDS = {"workMode": "WorkMode", "seniority": "Seniority", "employmentType": "EmploymentType"}
@@ -157,8 +158,9 @@ def list_sources(sources: DataFrame) -> DataFrame:
     return sources.select("id", "name", "type", "base_url", "enabled").orderBy("name")
 
 
-def _doc_terms() -> Column:
-    words = F.array_distinct(F.concat(*[_tokens(f) for f in TEXT_FIELDS]))
+def _doc_terms(tokens: list[str]) -> Column:
+    """Everything a saved search can ask of a document: its words, field values and tags."""
+    words = F.array_distinct(F.concat(*tokens))
     fields = [F.concat(F.lit(f"{f}="), F.lower(F.col(f))) for f in [*ENUM_FIELDS, *PLAIN_FIELDS.values()]]
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag="), t))
     terms = F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.array(*fields), tags)
@@ -196,10 +198,11 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     combos = keyed.select("combo", *params).dropDuplicates(["combo"]).select(
         "combo", _query_terms().alias("terms"), F.date_trunc("day", parse_date(F.col("postedFrom"))).alias("floor"))
     live = active_only(docs)
-    described = live.select("id", "postedAt", "capturedAt", _doc_terms().alias("doc_terms"),
-                            *[_tokens(f).alias(f"_t{i}") for i, f in enumerate(TEXT_FIELDS)])
-    index = live.select("id", F.explode(_doc_terms()).alias("term"))
-    weights = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tokens = {f"_t{i}": _tokens(f) for i, f in enumerate(TEXT_FIELDS)}
+    described = cut_lineage(live.withColumns(tokens).select("id", "postedAt", "capturedAt", *tokens, _doc_terms(list(tokens)).alias("doc_terms")))
+    index = described.select("id", F.explode("doc_terms").alias("term"))
+    weights = cut_lineage(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n_index = weights.agg(F.sum("df")).first()[0] or 0
 
     parts = combos.select("combo", F.explode("terms").alias("_c")).select("combo", "_c.part", "_c.kind", "_c.term")
     # Words longer than a parameter may be cannot be asked for, so prefixes stop there.
@@ -215,10 +218,11 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     cost = options.groupBy("combo", "part").agg(F.sum("df").alias("cost"))
     anchor = cost.groupBy("combo").agg(F.min_by("part", F.struct("cost", "part")).alias("part"))
     anchors = options.join(anchor, ["combo", "part"]).filter(F.col("df") > 0).select("combo", "term")
-    pairs = spread_join(index, anchors, ["term"]).select("combo", "id").distinct()
+    pairs = cut_lineage(spread_join(index, anchors, ["term"], rows=n_index).select("combo", "id").distinct())
+    n_pairs = pairs.count()
 
-    checked = spread_join(pairs, described, ["id"])
-    checked = spread_join(checked, combos, ["combo"])
+    checked = spread_join(pairs, described, ["id"], rows=n_pairs)
+    checked = spread_join(checked, combos, ["combo"], rows=n_pairs)
     plain = F.filter("terms", lambda t: (t["kind"] == "exact") & (t["part"] != 20))
     begun = F.filter("terms", lambda t: t["kind"] == "prefix")
     any_tag = F.transform(F.filter("terms", lambda t: t["part"] == 20), lambda t: t["term"])

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postingflow.sources.scans import widen
+
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 KEEP = WS.replace(" ", "", 1)
 
@@ -26,7 +28,8 @@ def registrar() -> tuple[dict, Callable]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    return widen(frame) if name in ("documents", "pages") else frame
 
 
 def small(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from postingflow.functions.text import is_blank, normalize_text, parse_date
+from postingflow.functions.text import is_blank, let, normalize_text, parse_date
 from postingflow.schema import BULK_REQUEST_SCHEMA, RAW_SCHEMA
 
 PAGES_SCHEMA = T.StructType([
@@ -44,7 +44,16 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages stored as Parquet."""
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    return widen(spark.read.schema(PAGES_SCHEMA).parquet(path))
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a frame that has fewer partitions than there are cores; others pass unshuffled.
+
+    Text work is heavy per row, and a few large row groups would leave most cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -55,8 +64,7 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
 def page_verdict(pages: DataFrame) -> DataFrame:
     """Add `verdict`: ok, blocked (refused or challenged) or failed (no payload)."""
     status = F.coalesce("status", F.lit(200))
-    body = normalize_text(F.col("html"))
-    challenged = F.greatest(*[body.contains(w) for w in CHALLENGE_WORDS])
+    challenged = let(normalize_text(F.col("html")), lambda body: F.greatest(*[body.contains(w) for w in CHALLENGE_WORDS]))
     workday = F.lower(F.coalesce("source_name", F.lit(""))).contains("workday")
     refused = status.isin(403, 429) | (workday & (status == 401))
     return pages.withColumn(
