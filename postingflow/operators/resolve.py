@@ -20,12 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postingflow.functions.text import null_if_blank
-from postingflow.operators.dedupe import digest
+from postingflow.operators.dedupe import digest, follow_links
 from postingflow.operators import scan
 from postingflow.operators.scan import prefix_scan, spread_join
 from postingflow.session import cut_lineage
 
 KEYS = ["o", "src", "j", "u", "f"]
+# Re-evaluation drops finished groups after this many rounds, when there are more records than this.
+PRUNE_AFTER = 3
+PRUNE_ABOVE = 1 << 17
 
 
 def _narrow(df: DataFrame, policy: str) -> DataFrame:
@@ -100,6 +103,18 @@ def _simple(labelled: DataFrame, policy: str) -> DataFrame:
     return groups.filter("_one").select("label").join(mixed, "label", "left_anti")
 
 
+def _closed_groups(hard: DataFrame, policy: str) -> DataFrame:
+    """seq and the group of incoming records that are connected over keys, however far."""
+    named = hard.select("seq", *KEYS, F.col("label.ent").alias("node"))
+    pairs = _edges(named, policy, ["node"]).distinct()
+    heads = pairs.groupBy("kind", "key").agg(F.min("node").alias("head"))
+    links = spread_join(pairs, heads, ["kind", "key"]).filter(F.col("node") != F.col("head")).select(
+        F.col("node").alias("leader"), "head")
+    reached = follow_links(links).select(F.col("leader").alias("node"), F.col("label").alias("closed"))
+    items = named.filter(F.col("seq") >= 0).select("seq", "node")
+    return cut_lineage(spread_join(items, reached, ["node"], "left").select("seq", F.coalesce("closed", "node").alias("closed")))
+
+
 def _latest_holder(c: str) -> Column:
     """The posting of the last writer of a key, unless it has since written another value."""
     return F.when(F.col(f"{c}.nxt").isNull() | (F.col(f"{c}.nxt") >= F.col("seq")), F.col(f"{c}.ent"))
@@ -186,9 +201,18 @@ def resolve_entities(incoming: DataFrame, state: DataFrame, policy: str) -> Data
     hard_state = hard.filter(F.col("seq") < 0).select("seq", "ent", "cap", *KEYS)
     current = hard.filter(F.col("seq") >= 0).select(
         "seq", F.col("label.ent").alias("ent"), "cap", *KEYS, F.lit(True).alias("ok"))
+    settled, rounds, members = easy, 0, None
     while True:
         current = cut_lineage(_round(current, hard_state, policy, size.span, size.rows))
-        if current.filter("moved").isEmpty():
-            break
+        moved = current.filter("moved")
+        if moved.isEmpty():
+            return settled.unionByName(current.select("seq", "ent", "ok"))
+        rounds += 1
+        if rounds >= PRUNE_AFTER and size.rows > PRUNE_ABOVE:
+            # Groups in which nothing moved are done; only the others go round again.
+            members = _closed_groups(hard, policy) if members is None else members
+            open_groups = members.join(moved.select("seq"), "seq", "left_semi").select("closed").distinct()
+            again = members.join(open_groups, "closed", "left_semi")
+            settled = settled.unionByName(current.join(again, "seq", "left_anti").select("seq", "ent", "ok"))
+            current = current.join(again.select("seq"), "seq", "left_semi")
         current = current.drop("moved")
-    return easy.unionByName(current.select("seq", "ent", "ok"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 import sequential_model as model
-from postingflow.operators import merge, scan
+from postingflow.operators import merge, resolve, scan
 from postingflow.schema import STATE_COLUMNS, STATE_SCHEMA
 
 NOW = datetime(2024, 5, 1)
@@ -111,6 +111,7 @@ def test_merge_with_split_groups(spark, policy, monkeypatch):
     """Tiny chunks and hot-key limits force the two-level and salted paths."""
     monkeypatch.setattr(scan, "CHUNK", 4)
     monkeypatch.setattr(scan, "HOT_ROWS", 3)
+    monkeypatch.setattr(resolve, "PRUNE_ABOVE", 0)
     check(spark, 3, policy, n_cases=60)
 
 
