@@ -10,7 +10,7 @@ from postingflow.functions.identity import (
     workday_detail_path,
 )
 from postingflow.functions.text import collapse_space, html_text, is_blank, let, normalize_text, null_if_blank, parse_date, trim_space
-from postingflow.operators.scan import first_n, first_per_key
+from postingflow.operators.scan import first_n, first_per_key, option_join
 from postingflow.schema import RAW_SCHEMA
 
 # How pages embed data and mark postings.
@@ -191,7 +191,7 @@ def extract_anchor_tail(pages: DataFrame, company: str = "TOTVS") -> DataFrame:
 def extract_workday(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """Listing entries of Workday pages; host and site come from the registry."""
     options = registry.select("source_name", "base_host", "site_path", "site_name")
-    located = pages.join(options, "source_name")
+    located = option_join(pages, options, ["source_name"])
     rows = _walk(located, jw.workday_rows, F.array("html"), 1, extra=["base_host", "site_path", "site_name"])
     path, host = F.col("external_path"), trim_space(F.col("base_host"))
     site = F.when(is_blank(F.col("site_path")), F.concat(F.lit("/en-US/"), F.col("site_name"))).otherwise(
@@ -292,7 +292,7 @@ def enrich_details(raw: DataFrame, details: DataFrame, registry: DataFrame, budg
         F.when(F.col("max_detail") > 0, F.col("max_detail")).otherwise(F.lit(max(budget, 0))))
     needing = raw.filter(is_blank(F.col("description"))).select(*keys, "family", "external_path", "source_job_id")
     options = registry.select("source_name", "max_detail", "base_host", "tenant", "site_name").dropDuplicates(["source_name"])
-    needing = needing.join(options, "source_name", "left").withColumn("_budget", own)
+    needing = option_join(needing, options, ["source_name"], "left").withColumn("_budget", own)
     picked = first_n(needing, ["source_name"], [F.col("page_id"), F.col("ord")], F.col("_budget"))
     workday_url = F.concat(F.lit("https://"), trim_space(F.col("base_host")), workday_detail_path(
         F.col("tenant"), F.col("site_name"), F.col("external_path"), F.col("source_job_id")))
@@ -327,7 +327,7 @@ def truncate_pages(listing: DataFrame) -> DataFrame:
     """
     ends = listing.filter((F.col("n_items") == 0) | F.col("blocked")).groupBy("source_name").agg(
         F.min("page_no").alias("_end"))
-    kept = listing.join(ends, "source_name", "left").filter(F.col("_end").isNull() | (F.col("page_no") < F.col("_end")))
+    kept = option_join(listing, ends, ["source_name"], "left").filter(F.col("_end").isNull() | (F.col("page_no") < F.col("_end")))
     return kept.filter(F.col("n_items").isNotNull()).drop("_end")
 
 
@@ -335,5 +335,5 @@ def cap_items(raw: DataFrame, registry: DataFrame, default: int = 20) -> DataFra
     """Keep the first items of each source: its own cap when set, else the run's, at least one."""
     caps = registry.select("source_name", "max_items").dropDuplicates(["source_name"])
     limit = F.when(F.col("max_items") > 0, F.col("max_items")).otherwise(F.lit(max(default, 1)))
-    ranked = first_n(raw.join(caps, "source_name", "left"), ["source_name"], [F.col("page_id"), F.col("ord")], limit)
+    ranked = first_n(option_join(raw, caps, ["source_name"], "left"), ["source_name"], [F.col("page_id"), F.col("ord")], limit)
     return ranked.select(*raw.columns)

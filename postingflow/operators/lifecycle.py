@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postingflow.operators.scan import option_join
+
 
 def batch_summary(outcomes: DataFrame) -> DataFrame:
     """Counts per batch from item outcomes (Inserted, Updated, Duplicate; anything else is invalid)."""
@@ -41,11 +43,11 @@ def expire(state: DataFrame, sources: DataFrame, now: Column, days: int = 14) ->
 
     Adds `expired_now` for the rows this run changed.
     """
-    ran = sources.select(F.col("source_name").alias("_n"), F.col("source_type").alias("_t")).distinct().withColumn("_ran", F.lit(True))
+    ran = sources.select("source_name", "source_type").distinct().withColumn("_ran", F.lit(True))
     cutoff = now - F.make_interval(days=F.lit(max(days, 1)))
-    joined = state.join(ran, (F.col("source_name") == F.col("_n")) & (F.col("source_type") == F.col("_t")), "left")
+    joined = option_join(state, ran, ["source_name", "source_type"], "left").select(*state.columns, "_ran")
     stale = F.coalesce("_ran", F.lit(False)) & (F.col("status") != "Expired") & (F.col("last_seen_at") < cutoff)
-    marked = joined.withColumn("expired_now", F.coalesce(stale, F.lit(False))).drop("_n", "_t", "_ran")
+    marked = joined.withColumn("expired_now", F.coalesce(stale, F.lit(False))).drop("_ran")
     return marked.withColumn("status", F.when(F.col("expired_now"), "Expired").otherwise(F.col("status")))
 
 

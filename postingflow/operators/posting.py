@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postingflow.functions.identity import fingerprint, stable_job_id
 from postingflow.functions import infer
 from postingflow.functions.text import is_blank, trim_space
+from postingflow.operators.scan import option_join
 from postingflow.schema import SALARY_TYPE, STATE_SCHEMA
 
 
@@ -24,7 +25,7 @@ def to_posting(raw: DataFrame, registry: DataFrame, tag_mode: str = "token") ->
         "site_path", F.col("company").alias("_company")).dropDuplicates(["source_name"])
     if "file_name" not in raw.columns:
         raw = raw.withColumns({"file_name": F.lit(None).cast("string"), "raw_json": F.lit(None).cast("string")})
-    df = raw.join(options, "source_name", "left")
+    df = option_join(raw, options, ["source_name"], "left")
     family, source = F.col("family"), F.col("source_name")
     listing, gupy, workday, sample = [family == f for f in ("listing", "gupy", "workday", "sample")]
     careers = family.isin("jsonld", "anchor_tail") & (F.coalesce("_type", F.lit("")) != "JsonLd")

@@ -141,3 +141,17 @@ def number_rows(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame
     within = Window.partitionBy("_range").orderBy(*order)
     return ranged.withColumn("_rn", F.row_number().over(within)).join(offsets, "_range").withColumn(
         name, (F.col("_offset") + F.col("_rn") - 1).cast("long")).drop("_range", "_rn", "_offset")
+
+
+SMALL_ROWS = 100_000
+
+
+def option_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to a small per-source option table without shuffling them by source.
+
+    The option table is counted first: up to SMALL_ROWS rows it is broadcast, beyond that hot sources are
+    split by `spread_join`.
+    """
+    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    return spread_join(left, right, on, how)

@@ -26,10 +26,11 @@ def registrar() -> tuple[dict, Callable]:
     return table, query
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables."""
+def table(spark: SparkSession, folder: str, name: str, heavy: bool | None = None) -> DataFrame:
+    """One of the given tables; `heavy` spreads a table of few row groups before costly work on each row."""
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
-    return widen(frame) if name in ("documents", "pages") else frame
+    heavy = name in ("documents", "pages") if heavy is None else heavy
+    return widen(frame) if heavy else frame
 
 
 def small(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:

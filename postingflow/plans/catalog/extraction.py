@@ -87,7 +87,7 @@ def workday_roundtrip(spark, folder):
         F.struct(F.col("o_orderstatus").alias("label")).alias("timeType"))
     payload = F.to_json(F.struct(F.lit(1).alias("total"), F.array(item).alias("jobPostings")))
     html = F.when(key % 5 == 0, F.concat(F.lit('{"data":[{"inner":'), payload, F.lit("}]}"))).otherwise(payload)
-    found = table(spark, folder, "orders").select(
+    found = table(spark, folder, "orders", heavy=True).select(
         key.alias("page_id"), F.lit(f"{HOST}/wd").alias("page_url"), F.lit("wd").alias("source_name"), html.alias("html"))
     options = registry(spark, {"source_name": "wd", "base_host": "wd.example.com", "site_path": "/pt/Site/", "site_name": "Site"})
     raw = ex.extract_workday(found, options)
@@ -109,7 +109,7 @@ def gupy_roundtrip(spark, folder):
     job = F.when(key % 4 == 0, by_text).otherwise(by_number)
     payload = F.concat(F.lit('{"data":{"jobs":['), job, F.lit("]}}"))
     html = F.when(key % 2 == 0, payload).otherwise(F.concat(F.lit("<p>x</p><script id='__NEXT_DATA__' type='application/json'>"), payload, F.lit("</script>")))
-    found = table(spark, folder, "part").select(
+    found = table(spark, folder, "part", heavy=True).select(
         key.alias("page_id"), F.concat(F.lit("https://c"), (key % 7).cast("string"), F.lit(".gupy.io/jobs")).alias("page_url"),
         F.lit("any").alias("source_name"), html.alias("html"))
     options = registry(spark, *[{"source_name": f"company{i}", "start_url": f"https://c{i}.gupy.io/"} for i in range(7)])
@@ -139,7 +139,7 @@ def listing_roundtrip(spark, folder):
     html = (
         F.when(key % 3 == 0, F.concat(top, F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"), link))
         .when(key % 3 == 1, F.concat(top, F.lit('<script type="application/ld+json">'), ld, F.lit("</script>"), link)).otherwise(F.concat(top, link)))
-    found = table(spark, folder, "part").select(
+    found = table(spark, folder, "part", heavy=True).select(
         key.alias("page_id"), F.lit("https://www.infojobs.com.br/vagas.aspx").alias("page_url"), F.lit("board").alias("source_name"), html.alias("html"))
     return ex.extract_listing(found).select("page_id", "title", "url", "company", "location_text", "salary_text")
 

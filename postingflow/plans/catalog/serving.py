@@ -17,10 +17,10 @@ QUERIES, query = registrar()
 FROM = date(1997, 6, 1)
 
 
-def postings(spark, folder):
+def postings(spark, folder, heavy=False):
     """Orders with their customers as stored postings."""
     key = F.col("o_orderkey")
-    df = table(spark, folder, "orders").join(
+    df = table(spark, folder, "orders", heavy).join(
         table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment", "c_nationkey"), "o_custkey")
     return as_state(
         df, id=key.cast("string"), source_name=F.col("o_orderpriority"), source_type=F.lit("Gupy"), title=F.concat(F.lower("c_mktsegment"), F.lit(" job "), (key % 17).cast("string")),
@@ -32,8 +32,8 @@ def postings(spark, folder):
         salary_currency=F.lit("BRL"), captured_at=F.col("o_orderdate"), fingerprint=key.cast("string"))
 
 
-def docs(spark, folder):
-    return to_search_doc(postings(spark, folder))
+def docs(spark, folder, heavy=False):
+    return to_search_doc(postings(spark, folder, heavy))
 
 
 _DOCS = f"""docs AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, lower(c_mktsegment) || ' job ' || o_orderkey % 17 AS title, c_name AS company, 'Zone ' || c_nationkey AS loc,
@@ -61,13 +61,13 @@ def search_oldest_first(spark, folder):
 @query(f"""WITH {_DOCS} SELECT id, CAST(4 + CASE WHEN title LIKE '% job 1%' THEN 4 WHEN contains(' ' || lower(company) || ' ', ' 1') THEN 3 ELSE 1 END AS DOUBLE) AS score FROM docs
 WHERE status = 'Active' AND seg = 'machinery' AND (title LIKE '% job 1%' OR loc LIKE 'Zone 1%')""")
 def search_text(spark, folder):
-    return se.match_text(se.filter_docs(docs(spark, folder)), "Machinery 1").select("id", "score")
+    return se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "Machinery 1").select("id", "score")
 
 
 @query(f"""WITH {_DOCS} SELECT id FROM docs WHERE status = 'Active' AND seg = 'household'""")
 def search_with_typos(spark, folder):
-    return se.match_text(se.filter_docs(docs(spark, folder)), "housahold jab", typos=True).select("id").unionByName(
-        se.match_text(se.filter_docs(docs(spark, folder)), "housihuld", typos=True).select("id")).distinct()
+    return se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "housahold jab", typos=True).select("id").unionByName(
+        se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "housihuld", typos=True).select("id")).distinct()
 
 
 @query(f"""WITH {_DOCS}, d AS (SELECT * FROM docs WHERE status = 'Active') SELECT 'workMode' AS attribute, mode AS value, count(*) AS n FROM d GROUP BY 2
@@ -106,7 +106,7 @@ def saved_searches(spark, folder):
         key.alias("query_id"), F.initcap("c_mktsegment").alias("q"), F.when(key % 2 == 0, "java").alias("tags"), F.when(key % 3 == 0, "remote").alias("workMode"),
         none.alias("seniority"), none.alias("employmentType"), none.alias("company"), F.concat(F.lit("zone "), F.col("c_nationkey").cast("string")).alias("location"),
         none.alias("sourceName"), none.alias("postedFrom"))
-    return se.batch_search(queries, docs(spark, folder), 5).select("query_id", "rank", "id")
+    return se.batch_search(queries, docs(spark, folder, heavy=True), 5).select("query_id", "rank", "id")
 
 
 @query(f"""WITH {_DOCS} SELECT id, title, company, CASE WHEN k % 4 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS salary_min, CASE WHEN k % 4 = 0 THEN 'BRL' END AS currency,

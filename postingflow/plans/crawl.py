@@ -13,7 +13,7 @@ from postingflow.operators.lifecycle import expire, run_counters
 from postingflow.operators.merge import merge_records
 from postingflow.operators.posting import to_entity, to_posting, with_run_ts
 from postingflow.operators.quality import quality_gate, unkeyed
-from postingflow.operators.scan import number_rows
+from postingflow.operators.scan import number_rows, option_join
 from postingflow.schema import RAW_SCHEMA, STATE_COLUMNS
 from postingflow.session import cut_lineage
 from postingflow.sources.scans import drop_blocked, skip_js_sources, source_registry
@@ -42,7 +42,7 @@ def extract_all(pages: DataFrame, registry: DataFrame) -> DataFrame:
     out = pages.sparkSession.createDataFrame([], RAW_SCHEMA)
     for family in used & set(FAMILIES):
         mine = registry.filter(F.col("family") == family)
-        out = out.unionByName(FAMILIES[family](pages.join(mine.select("source_name"), "source_name", "left_semi"), mine))
+        out = out.unionByName(FAMILIES[family](option_join(pages, mine.select("source_name"), ["source_name"], "left_semi"), mine))
     return out
 
 
