@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postingflow.llm import mixing, sharding
+from postingflow.llm import mixing, sharding, simhash
 
-MODULES = [sharding, mixing]
+MODULES = [simhash, sharding, mixing]
 
 
 def all_queries() -> dict:
