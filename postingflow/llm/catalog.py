@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postingflow.llm import mixing, sharding, simhash
+from postingflow.llm import mixing, sharding, simhash, toxicity
 
-MODULES = [simhash, sharding, mixing]
+MODULES = [simhash, sharding, mixing, toxicity]
 
 
 def all_queries() -> dict:
