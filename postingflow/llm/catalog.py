@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postingflow.llm import mixing, sharding, simhash, toxicity
+from postingflow.llm import language, mixing, quality, sharding, simhash, toxicity, urls
 
-MODULES = [simhash, sharding, mixing, toxicity]
+MODULES = [language, simhash, sharding, mixing, quality, toxicity, urls]
 
 
 def all_queries() -> dict:

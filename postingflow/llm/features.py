@@ -30,8 +30,8 @@ class Texts:
         return len(self.starts) - 1
 
 
-def chunks(column: pa.Array, limit: int = CHUNK):
-    """Cut a string column into runs of rows of about ``limit`` bytes (a longer text is a run of its own): (first row, Texts)."""
+def chunks(column: pa.Array, limit: int = CHUNK, rows: int = 1 << 20):
+    """Cut a string column into runs of at most ``rows`` rows and about ``limit`` bytes (a longer text is a run of its own): (first row, Texts)."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -39,7 +39,7 @@ def chunks(column: pa.Array, limit: int = CHUNK):
     sizes = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0) if column.null_count else np.diff(offsets)
     at = 0
     while at < len(column):
-        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), limit, "right")))
+        end = at + max(1, min(rows, int(np.searchsorted(np.cumsum(sizes[at:at + rows]), limit, "right"))))
         starts = np.concatenate([[0], np.cumsum(sizes[at:end] + 1)])
         data = np.full(starts[-1], 0x20, np.uint8)
         if sizes[at:end].sum() == offsets[end] - offsets[at]:
