@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postingflow.llm import language, mixing, packing, quality, sharding, simhash, toxicity, urls
+from postingflow.llm import language, mixing, packing, quality, sharding, simhash, suffixes, toxicity, urls
 
-MODULES = [language, simhash, sharding, mixing, packing, quality, toxicity, urls]
+MODULES = [language, simhash, suffixes, sharding, mixing, packing, quality, toxicity, urls]
 
 
 def all_queries() -> dict:
