@@ -55,7 +55,8 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float
     """Non-negative positive-unlabelled learning with the sigmoid loss; the last weight is the bias.
 
     The risk of negatives is that of the unlabelled rows less ``prior`` times that of the positives scored as negatives. Where a
-    batch makes it negative, which the true risk can't be, the step goes up that part instead of down the whole.
+    batch makes it negative, which the true risk can't be, the step goes up that part instead of down the whole. Weights stay at 0 or
+    above: the features are evidence for the positive class, and the absence of other evidence is the bias.
     """
     p = np.hstack([positive, np.ones((len(positive), 1), positive.dtype)])
     u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), unlabelled.dtype)])
@@ -70,4 +71,5 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float
             negative = du - prior * dp
             g = -prior * dp + negative if su.mean() - prior * sp.mean() >= 0 else -negative
             w = adam.step(w, g + l2 * np.append(w[:-1], 0))
+            w[:-1] = np.maximum(w[:-1], 0)
     return w

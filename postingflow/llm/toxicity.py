@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents and unlabelled documents are all the classifiers see. A text's features are which words and which five-byte
-pieces of words it holds, hashed; those that stand out among the confirmed rows are selected, so a long clean text collects no weight
+Confirmed toxic documents and unlabelled documents are all the classifiers see. A text's features are which words and which pieces of
+words, five and seven bytes long, it holds, hashed; those that stand out among the confirmed rows are selected, so a long clean text collects no weight
 from ordinary words. Samples are bounded: POSITIVES confirmed and about UNLABELLED other documents.
 """
 
@@ -24,14 +24,14 @@ POSITIVES = 4000
 UNLABELLED = 12000
 SELECTED = 1024
 BITS = 22
-GRAM = 5
+GRAMS = (5, 7)
 SEEDS = (0, 1, 2)
 HELD_OUT = 5
 EDGE = np.isin(np.arange(256), np.frombuffer(b"!\"'(),-.:;?[]", np.uint8))
 
 
 def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, without punctuation at their ends, and five-byte pieces inside words, lower-cased: (text, bucket) of each."""
+    """Hashed words, without punctuation at their ends, and pieces inside words, lower-cased: (text, bucket) of each."""
     data = LOWER[t.data]
     plain = data.copy()
     plain[EDGE[data]] = 0x20
@@ -39,11 +39,13 @@ def text_features(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     words = word_hashes(plain, starts, ends)
     space = SPACE[plain].astype(np.int32)
     gaps = np.concatenate([[0], np.cumsum(space)])
-    at = np.flatnonzero(gaps[GRAM:] == gaps[:-GRAM]) if len(data) >= GRAM else np.zeros(0, np.int64)
-    grams = byte_grams(plain, GRAM)[at]
-    where = np.concatenate([starts, at])
-    bucket = (np.concatenate([words, grams]) >> np.uint64(64 - BITS)).astype(np.int64)
-    return where, bucket
+    where, hashes = [starts], [words]
+    for n in GRAMS:
+        if len(plain) >= n:
+            where.append(np.flatnonzero(gaps[n:] == gaps[:-n]))
+            hashes.append(byte_grams(plain, n)[where[-1]])
+    bucket = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(where), bucket
 
 
 def _once(texts: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,8 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """text and positive (boolean): confirmed toxic rows outside the held-out fold, and other documents outside it picked by a hash of their id.
+    """text, positive and unlabelled (booleans): confirmed toxic rows outside the held-out fold, and documents outside it picked by a hash of
+    their id, confirmed or not, so that the unlabelled rows are drawn as all documents are.
 
     Only the picked ids are broadcast, at most ``positives``. A repeated id counts once.
     """
@@ -82,8 +85,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
     share = min(1.0, unlabelled / max(1, docs.count()))
     picked = (docs.select("doc_id", "text").where(fold(F.col("doc_id"), HELD_OUT) > 0)
               .join(F.broadcast(confirmed), "doc_id", "left")
-              .where(F.col("_positive") | (shuffle_key(F.col("doc_id")) < int(share * (1 << KEY_BITS)))))
-    return picked.dropDuplicates(["doc_id"]).select(F.coalesce("_positive", F.lit(False)).alias("positive"), "text")
+              .select("doc_id", "text", F.coalesce("_positive", F.lit(False)).alias("positive"), (shuffle_key(F.col("doc_id")) < int(share * (1 << KEY_BITS))).alias("unlabelled"))
+              .where("positive OR unlabelled"))
+    return picked.dropDuplicates(["doc_id"]).select("positive", "unlabelled", "text")
 
 
 def class_prior(labels: DataFrame) -> float:
@@ -93,30 +97,34 @@ def class_prior(labels: DataFrame) -> float:
 
 
 def select_features(sample: DataFrame, keep: int = SELECTED) -> tuple[np.ndarray, int, int]:
-    """The buckets whose document share among positives exceeds that among the rest by most standard errors, and both row counts."""
+    """The buckets whose document share among positives exceeds that among unlabelled rows by most standard errors, and both row counts.
+
+    At most ``keep`` and half as many as there are positives, but 32 at least: few rows can't tell many features apart.
+    """
     def run(batches):
-        counts = {True: np.zeros(1 << BITS, np.int32), False: np.zeros(1 << BITS, np.int32)}
-        rows = {True: 0, False: 0}
+        counts = {k: np.zeros(1 << BITS, np.int32) for k in ("positive", "unlabelled")}
+        rows = dict.fromkeys(counts, 0)
         for b in batches:
-            flags = np.asarray(b.column("positive"))
             for first, t in chunks(b.column("text")):
                 where, bucket = text_features(t)
                 texts, buckets = _once(text_of(t, where), bucket)
-                own = flags[first:first + len(t)]
                 for kind in counts:
-                    counts[kind] += np.bincount(buckets[own[texts] == kind], minlength=1 << BITS).astype(np.int32)
-                    rows[kind] += int((own == kind).sum())
+                    own = np.asarray(b.column(kind))[first:first + len(t)]
+                    counts[kind] += np.bincount(buckets[own[texts]], minlength=1 << BITS).astype(np.int32)
+                    rows[kind] += int(own.sum())
         # Bucket -1 carries the rows seen.
-        at = np.flatnonzero(counts[True])
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(at, -1), pa.int32()), "p": pa.array(np.append(counts[True][at], rows[True]), pa.int64()),
-                                          "u": pa.array(np.append(counts[False][at], rows[False]), pa.int64())})
+        at = np.flatnonzero(counts["positive"] + counts["unlabelled"])
+        p, u = (pa.array(np.append(counts[k][at], rows[k]), pa.int64()) for k in counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), p, u], ["bucket", "p", "u"])
 
     found = cut_lineage(sample.mapInArrow(run, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     rows = found.where("bucket < 0").first()
     if rows is None or not rows.p or not rows.u:
         return np.zeros(0, np.int64), 0, 0
     share_p, share_u = F.col("p") / rows.p, F.col("u") / rows.u
-    score = (share_p - share_u) / F.sqrt((share_u + 1.0 / rows.u) / rows.p)
+    pooled = (F.col("p") + F.col("u") + 1) / (rows.p + rows.u)
+    score = (share_p - share_u) / F.sqrt(pooled * (1 / rows.p + 1 / rows.u))
+    keep = min(keep, max(32, rows.p // 2))
     best = (found.where((F.col("bucket") >= 0) & (F.col("p") >= 3) & (share_p > share_u))
             .orderBy(score.desc(), "bucket").limit(keep).select("bucket").collect())
     return np.sort(np.array([r.bucket for r in best], np.int64)), rows.p, rows.u
@@ -140,16 +148,16 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
                 texts, chosen = _once(text_of(t, where[hit]), bucket[hit])
                 cuts = np.searchsorted(texts, np.arange(len(t) + 1))
                 found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot[chosen], pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("positive").slice(first, len(t)), found], ["positive", "features"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(first, len(t)) for k in ("positive", "unlabelled")), found], ["positive", "unlabelled", "features"])
 
-    rows = sample.mapInArrow(run, "positive boolean, features array<int>").toArrow()  # bounded sample, selected features only
+    rows = sample.mapInArrow(run, "positive boolean, unlabelled boolean, features array<int>").toArrow()  # bounded sample, selected features only
     lists = rows.column("features").combine_chunks()
-    flags = np.asarray(rows.column("positive"))
-    x = np.zeros((len(flags), len(buckets)), np.float32)
-    x[np.repeat(np.arange(len(flags)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = 1
+    positive, unlabelled = (np.asarray(rows.column(k)) for k in ("positive", "unlabelled"))
+    x = np.zeros((len(positive), len(buckets)), np.float32)
+    x[np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = 1
     order = np.lexsort((*x.T[:8], x.sum(axis=1)))  # the sample's row order must not matter much
-    x, flags = x[order], flags[order]
-    return Model(buckets, np.mean([nn_pu(x[flags], x[~flags], prior, seed=s) for s in SEEDS], axis=0))
+    x, positive, unlabelled = x[order], positive[order], unlabelled[order]
+    return Model(buckets, np.mean([nn_pu(x[positive], x[unlabelled], prior, seed=s) for s in SEEDS], axis=0))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
