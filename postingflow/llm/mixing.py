@@ -66,15 +66,16 @@ def invert_demand(share: Column, knots: tuple[tuple[float, float], ...]) -> Colu
     return out
 
 
-def training_position(copy: Column, schedules: tuple) -> Column:
-    """Position 0 to 1 of a document's copy, from its source's class, target and words before it."""
+def with_position(rows: DataFrame, copy: Column, schedules: tuple, out: str) -> DataFrame:
+    """Add the training position, 0 to 1, of a document's copy, from its source's class, target and words before it."""
     middle = copy * F.col("source_size") + F.col("_before") + F.col("_words") / 2
     share = F.when(F.col("target") > 0, F.least(F.lit(1.0), middle / F.col("target"))).otherwise(F.lit(0.0))
-    out = None
+    position = None
     for i, knots in enumerate(schedules):
-        at = invert_demand(share, knots)
-        out = at if out is None else F.when(F.col("_class") == i, at).otherwise(out)
-    return out
+        at = invert_demand(F.col("_share"), knots)
+        position = at if position is None else F.when(F.col("_class") == i, at).otherwise(position)
+    # A column of its own, or the share would be written out at each of its many uses.
+    return rows.withColumn("_share", share).withColumn(out, position).drop("_share")
 
 
 def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, schedules: tuple = SCHEDULES) -> DataFrame:
@@ -93,8 +94,8 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     middle = F.col("_before") + F.col("_words") / 2
     copies = F.col("_whole") + F.when((F.col("size") > 0) & (middle <= F.col("target") - F.col("_whole") * F.col("source_size")), 1).otherwise(0)
-    return (placed.withColumn("_whole", whole).withColumn("copies", copies.cast("long"))
-            .withColumn("first_position", F.round(training_position(F.lit(0), schedules), 6)))
+    placed = placed.withColumn("_whole", whole).withColumn("copies", copies.cast("long"))
+    return with_position(placed, F.lit(0), schedules, "first_position").withColumn("first_position", F.round("first_position", 6))
 
 
 def join_decisions(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", *source_key(F.col("source")), word_count(F.col("text")).alias("size"))
     copies = (join_decisions(rows, decide(docs, weights, cap, schedules).where("copies > 0"))
               .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))))
-    ordered = copies.select("_row", training_position(F.col("_copy"), schedules).alias("_position"), "doc_id", "_copy")
+    ordered = with_position(copies, F.col("_copy"), schedules, "_position").select("_row", "_position", "doc_id", "_copy")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (ordered.repartitionByRange(parts, "_position", "doc_id", "_copy").sortWithinPartitions("_position", "doc_id", "_copy")
             .select("_row.*"))
