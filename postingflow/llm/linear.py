@@ -9,6 +9,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _dot(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A product in the matrix's own precision, so that it isn't copied."""
+    return (x @ v.astype(x.dtype)).astype(np.float64)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge, dual coordinate descent); y is +1 or -1. The last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -47,7 +52,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400, r
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, adam = np.zeros(x.shape[1]), _Adam(x.shape[1], rate)
     for _ in range(steps):
-        w = adam.step(w, x.T @ (weight * (sigmoid(x @ w) - y)) + l2 * np.append(w[:-1], 0))
+        miss = weight * (sigmoid(_dot(x, w)) - y)
+        w = adam.step(w, _dot(x.T, miss) + l2 * np.append(w[:-1], 0))
     return w
 
 
@@ -66,8 +72,9 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float
         for pi, ui in zip(np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches)):
             if not len(pi) or not len(ui):
                 continue
-            sp, su = sigmoid(p[pi] @ w), sigmoid(u[ui] @ w)  # loss of a row as negative; as positive it is 1 - s
-            dp, du = p[pi].T @ (sp * (1 - sp)) / len(pi), u[ui].T @ (su * (1 - su)) / len(ui)
+            pb, ub = p[pi], u[ui]
+            sp, su = sigmoid(_dot(pb, w)), sigmoid(_dot(ub, w))  # loss of a row as negative; as positive it is 1 - s
+            dp, du = _dot(pb.T, sp * (1 - sp)) / len(pi), _dot(ub.T, su * (1 - su)) / len(ui)
             negative = du - prior * dp
             g = -prior * dp + negative if su.mean() - prior * sp.mean() >= 0 else -negative
             w = adam.step(w, g + l2 * np.append(w[:-1], 0))

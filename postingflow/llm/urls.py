@@ -20,7 +20,7 @@ from postingflow.llm.linear import logistic, sigmoid
 
 # (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-LABELLED = 4000
+LABELLED = 1000
 BITS = 12
 ORDERS = (3, 4, 5, 6)
 
