@@ -159,10 +159,11 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 def shard_trees(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per shard: _size, _block, _tree (packed), and _centre and _radius of its root."""
     def build(pdf):
-        tree = build_tree(pdf["_id"].fillna(NO_ID).to_numpy(np.int64), pdf["_row"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()).reshape(len(pdf), -1))
+        tree = build_tree(pdf["_id"].to_numpy(np.int64), pdf["_row"].to_numpy(np.int64), np.stack(pdf["_v"].to_numpy()).reshape(len(pdf), -1))
         return pd.DataFrame({"_size": [int(pdf["_size"].iloc[0])], "_block": [int(pdf["_block"].iloc[0])], "_tree": [tree.pack()]})
 
-    return _blocks(rows, shard_rows).groupBy("_size", "_block").applyInPandas(build, "_size int, _block int, _tree binary")
+    known = rows.withColumn("_id", F.coalesce("_id", F.lit(NO_ID)))  # pandas would make floats of ids among nulls
+    return _blocks(known, shard_rows).groupBy("_size", "_block").applyInPandas(build, "_size int, _block int, _tree binary")
 
 
 def query_blocks(rows: DataFrame, query_rows: int = QUERY_ROWS) -> DataFrame:

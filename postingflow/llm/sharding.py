@@ -71,7 +71,7 @@ def rebalance(old: SlotMap, slot_bytes: list[int], slot_rows: list[int], shards:
     """The next version for new sums and, if given, more shards: slots leave shards above the mean, the others stay where they are.
 
     A slot moves from the fullest shard to the emptiest one while that lowers the larger of the two; it ends when the fullest is
-    within ``slack`` of the mean or no move helps. With more shards and unchanged sums, slots move into the new shards first.
+    within ``slack`` of the mean or no move helps. With more shards, slots move into the new shards only.
     """
     shards = shards or old.shards
     if shards < old.shards:
@@ -82,8 +82,9 @@ def rebalance(old: SlotMap, slot_bytes: list[int], slot_rows: list[int], shards:
         loads[shard] += slot_bytes[slot]
         held[shard].append(slot)
     mean = sum(loads) / shards
+    takers = range(old.shards, shards) if shards > old.shards else range(shards)
     while max(loads) > mean * (1 + slack):
-        full, empty = loads.index(max(loads)), loads.index(min(loads))
+        full, empty = loads.index(max(loads)), min(takers, key=lambda s: (loads[s], s))
         gap = (loads[full] - loads[empty]) / 2
         movable = [s for s in held[full] if 0 < slot_bytes[s] < 2 * gap]
         if not movable:

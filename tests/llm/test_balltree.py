@@ -24,8 +24,8 @@ def test_against_all_products(spark):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     rows += [(i, list(rows[i % 7][1])) for i in range(400, 460)]  # ties
-    rows += [(None, [9.0] * 6), (500, None), (505, [1.0, None, 0, 0, 0, 0]), (510, [float("nan")] * 6), (515, [float("inf")] * 6), (520, [1.5, 2.5]), (525, []), (10, [0.0] * 6), (10, [0.0] * 6),
-             (530, [3e7, 0, 0, 0, 0, 1.0])]
+    rows += [(None, [9.0] * 6), (500, None), (505, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (510, [float("nan")] * 6), (515, [float("inf")] * 6), (520, [1.5, 2.5]), (525, []), (10, [0.0] * 6), (10, [0.0] * 6),
+             (530, [3e7, 0.0, 0.0, 0.0, 0.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, _row string, score int")
     for shard_rows, streams in ((40, 2), (10_000, 1)):
         got = balltree.top_k(df, F.col("_id") % 5 == 0, 5, shard_rows=shard_rows, query_rows=16, streams=streams)
@@ -36,7 +36,7 @@ def test_against_all_products(spark):
 def test_whole_nodes_are_skipped():
     import numpy as np
     rng = np.random.default_rng(0)
-    centres = np.repeat(np.eye(8) * 2000, 512, axis=0)
+    centres = np.repeat(np.diag([2000] + [200] * 7), 512, axis=0)
     vectors = (centres + rng.normal(0, 20, centres.shape)).astype(np.int64)
     tree = balltree.build_tree(np.arange(len(vectors)), np.arange(len(vectors)), vectors)
     best, seen = balltree.Best(vectors[:3], np.arange(3), 5), []

@@ -39,6 +39,6 @@ def test_map_versions(spark, tmp_path):
     assert moved and {b for _, b in moved} == {8} and grown.version == 2
     assert max(grown.loads()) <= 1.03 * sum(sizes) / 9
     heavier = [s * (5 if o == 3 else 1) for s, o in zip(sizes, grown.shard_of)]
-    third = sharding.rebalance(grown, heavier, [1] * 500)
+    third = sharding.rebalance(grown, heavier, [1] * 500, slack=0.1)
     assert {a for a, b in zip(grown.shard_of, third.shard_of) if a != b} == {3}
-    assert max(third.loads()) <= 1.05 * sum(heavier) / 9
+    assert max(third.loads()) <= 1.11 * sum(heavier) / 9
