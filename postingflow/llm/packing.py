@@ -36,8 +36,8 @@ class WordTokens:
     """Token ids of whole texts from a ``tokenizers`` byte-level vocabulary, with the ids of seen word chunks remembered.
 
     A text may be cut before a single space between visible characters: the vocabulary's pattern always begins a token there, so the
-    ids of the parts laid end to end are the ids of the text. Equal parts are encoded once; the memory holds REMEMBERED parts and
-    starts anew when it is full.
+    ids of the parts laid end to end are the ids of the text. Equal parts are encoded once; the memory holds REMEMBERED parts, and when
+    it is full those met least often leave it.
     """
 
     def __init__(self, path: str):
@@ -50,6 +50,22 @@ class WordTokens:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = [0]
+        self.met = np.zeros(0, np.int32)
+
+    def _make_room(self) -> None:
+        """Keep the parts met more than once, at most half of what may be held."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > REMEMBERED // 2:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[:REMEMBERED // 2]])
+        names, limits, flat, met = list(self.known), np.array(self.ends), self.flat, self.met
+        self._forget()
+        size = limits[often + 1] - limits[often]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(limits[often] - ends[:-1], size) + np.arange(ends[-1])]
+        self.flat = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.ends = ends.tolist()
+        self.known = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.met = met[often] // 2
 
     def _learn(self, parts: list[bytes]) -> None:
         for at in range(0, len(parts), 20_000):
@@ -87,10 +103,13 @@ class WordTokens:
         values = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(d[take])]).dictionary_encode()
         parts = values.dictionary.to_pylist()
         if len(self.known) + len(parts) > REMEMBERED:
-            self._forget()
+            self._make_room()
         new = [p for p in parts if p not in self.known]
         self._learn(new)
-        number = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))[np.asarray(values.indices)]
+        number = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
+        self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), np.int32)])
+        self.met[number] += 1
+        number = number[np.asarray(values.indices)]
         limits = np.array(self.ends)
         first, size = limits[number], limits[number + 1] - limits[number]
         total = np.concatenate([[0], np.cumsum(size)])
