@@ -8,8 +8,10 @@ how often each combination of lengths is used; pieces are numbered within their
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        # Spark already runs a worker per core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -71,13 +75,12 @@ class WordTokens:
         for at in range(0, len(parts), 20_000):
             some = parts[at:at + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False)]
-            ids = np.fromiter((i for f in found for i in f), np.uint32)
+            ids = np.fromiter(chain.from_iterable(found), np.uint32)
             while self.ends[-1] + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.ends[-1]:self.ends[-1] + len(ids)] = ids
-            for p, f in zip(some, found):
-                self.known[p] = len(self.ends) - 1
-                self.ends.append(self.ends[-1] + len(f))
+            self.known.update(zip(some, range(len(self.ends) - 1, len(self.ends) - 1 + len(some))))
+            self.ends.extend((self.ends[-1] + np.cumsum([len(f) for f in found])).tolist())
 
     def ids(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin (one more than texts)."""
@@ -106,7 +109,7 @@ class WordTokens:
             self._make_room()
         new = [p for p in parts if p not in self.known]
         self._learn(new)
-        number = np.fromiter((self.known[p] for p in parts), np.int64, len(parts))
+        number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         self.met = np.concatenate([self.met, np.zeros(len(self.known) - len(self.met), np.int32)])
         self.met[number] += 1
         number = number[np.asarray(values.indices)]

@@ -54,7 +54,7 @@ def test_plan_places_every_piece_once(counts):
             at += length
         assert at <= 64
     words = sum(n * k for n, k in counts.items())
-    assert len(places) == plan.sequences <= max(1, 1.5 * words / 64 + 1)
+    assert len(places) == plan.sequences <= 2 * words / 64 + 1
 
 
 def test_exact_complements_fill_whole_sequences():
