@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,12 @@ def small_batches(spark: SparkSession, size: str = "8m"):
         spark.conf.set(key, before)
 
 
+def release_finished(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps: its cleaner waits until the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
