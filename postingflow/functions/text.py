@@ -15,21 +15,21 @@ _KEEP_SPACE = SPACE.replace(" ", "", 1)
 
 
 def _accent_pairs() -> tuple[str, str]:
-    """Letters that decompose to one base letter plus marks with that base letter, then all marks.
+    """Characters that decompose and, without their marks, recompose to another single character, with that one; then all marks.
 
-    `translate` drops what has no counterpart, so one pass folds the letters and removes loose marks.
+    `translate` drops what has no counterpart, so one pass folds the characters and removes loose marks.
     """
-    source, target = [], []
-    for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+    source, target, marks = [], [], []
+    for code in [*range(0xC0, 0xD800), *range(0xE000, 0x30000)]:
         ch = chr(code)
-        if ch != ch.lower():
-            continue
-        decomposed = unicodedata.normalize("NFD", ch)
-        base = "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
-        if len(base) == 1 and base != ch and len(decomposed) > 1:
-            source.append(ch)
-            target.append(base)
-    marks = [chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) == "Mn"]
+        if unicodedata.category(ch) == "Mn":
+            marks.append(ch)
+        elif ch == ch.lower() and unicodedata.decomposition(ch)[:1] not in ("", "<"):
+            base = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+            base = unicodedata.normalize("NFC", base)
+            if len(base) == 1 and base != ch:
+                source.append(ch)
+                target.append(base)
     return "".join(source + marks), "".join(target)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postingflow.functions.infer import parse_enum
 from postingflow.functions.text import normalize_text, null_if_blank, parse_date, parse_tag_csv
@@ -13,7 +13,7 @@ from postingflow.operators.scan import first_n, spread_join
 from postingflow.schema import ENUMS
 from postingflow.session import cut_lineage
 
-TEXT_FIELDS = ["title", "company", "tags", "locationText"]
+TEXT_FIELDS = ["title", "company", "tags", "locationText", "workMode", "seniority", "employmentType", "sourceName"]
 ENUM_FIELDS = {"workMode": "WorkMode", "seniority": "Seniority", "employmentType": "EmploymentType"}
 PLAIN_FIELDS = {"company": "company", "location": "locationText", "sourceName": "sourceName"}
 FACETS = ["workMode", "seniority", "employmentType", "company", "locationText", "sourceName"]
@@ -57,16 +57,18 @@ def filter_docs(
 
 def _tokens(field: str) -> Column:
     text = F.array_join("tags", " ") if field == "tags" else F.col(field)
-    return F.filter(F.split(normalize_text(text), r"\s+"), lambda t: t != "")
+    return _words(text)
+
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(normalize_text(text), r"\s+"), lambda t: t != "")
 
-def _query_tokens(q: str | None) -> list[str]:
-    """Same folding as `normalize_text`, for one query string."""
-    import unicodedata
 
-    folded = unicodedata.normalize("NFD", (q or "").strip().lower())
-    kept = "".join(c if c.isalnum() else " " for c in folded if unicodedata.category(c) != "Mn")
-    return kept.split()
+def _query_tokens(docs: DataFrame, q: str | None) -> list[str]:
+    """The words of one query string, folded by the expression that folds documents; a local row, so no job runs."""
+    if not (q or "").strip():
+        return []
+    return list(docs.sparkSession.createDataFrame([(q,)], "q string").select(_words(F.col("q")).alias("w")).first().w)
 
 
 def _near(column: str, word: str, slack: int) -> Column:
@@ -79,7 +81,7 @@ def match_text(docs: DataFrame, q: str | None, typos: bool = False) -> DataFrame
     A word scores by the best field it occurs in, title first. With `typos`, words of five letters may
     differ by one edit and words of nine by two, at a cost. This approximates a search engine's relevance.
     """
-    words = _query_tokens(q)
+    words = _query_tokens(docs, q)
     if not words:
         return docs.withColumn("score", F.lit(0.0))
     fields = [(f"_t{i}", float(len(TEXT_FIELDS) - i)) for i in range(len(TEXT_FIELDS))]
@@ -92,12 +94,10 @@ def match_text(docs: DataFrame, q: str | None, typos: bool = False) -> DataFrame
         def found(column: str, word=word, last=last) -> Column:
             return F.exists(column, lambda t: t.startswith(word)) if last else F.array_contains(column, word)
 
-        best = F.lit(0.0)
-        for column, weight in reversed(fields):
-            if slack:
-                near = _near(column, word, slack)
-                best = F.when(near, F.greatest(best, F.lit(weight - 0.5))).otherwise(best)
-            best = F.when(found(column), F.greatest(best, F.lit(weight))).otherwise(best)
+        scores = [F.when(found(column), F.lit(weight)) for column, weight in fields]
+        if slack:
+            scores += [F.when(_near(column, word, slack), F.lit(weight - 0.5)) for column, weight in fields]
+        best = F.greatest(F.lit(0.0), *scores)
         hits.append(best)
     out = out.withColumns({f"_h{n}": h for n, h in enumerate(hits)})
     out = out.filter(reduce(lambda a, b: a & b, [F.col(f"_h{n}") > 0 for n in range(len(hits))]))
@@ -123,13 +123,13 @@ def search(docs: DataFrame, q: str | None = None, sort: str | None = None, page:
     page = 1 if page <= 0 else page
     page_size = 20 if page_size <= 0 or page_size > 100 else page_size
     hits = match_text(filter_docs(docs, **filters), q, typos)
-    order = ([F.col("score").desc()] if _query_tokens(q) else []) + sort_order(sort)
+    order = ([F.col("score").desc()] if _query_tokens(docs, q) else []) + sort_order(sort)
     return hits.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
-def count_hits(docs: DataFrame, q: str | None = None, page_size: int = 20, **filters) -> DataFrame:
-    """Total hits and page count of a search."""
-    hits = match_text(filter_docs(docs, **filters), q)
+def count_hits(docs: DataFrame, q: str | None = None, page_size: int = 20, typos: bool = False, **filters) -> DataFrame:
+    """Total hits and page count of a search with the same arguments."""
+    hits = match_text(filter_docs(docs, **filters), q, typos)
     return hits.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", page_count(F.col("total"), page_size))
 
 
@@ -169,7 +169,7 @@ def _doc_terms(tokens: list[str]) -> Column:
 
 def _query_terms() -> Column:
     """(part, kind, term) of each condition; parts are AND-ed, terms of one part are OR-ed."""
-    words = F.filter(F.split(normalize_text(F.col("q")), r"\s+"), lambda t: t != "")
+    words = _words(F.col("q"))
     n = F.size(words)
     texts = F.transform(words, lambda w, i: F.struct(
         (i + 100).alias("part"), F.when(i == n - 1, "prefix").otherwise("exact").alias("kind"), F.concat(F.lit("w:"), w).alias("term")))
@@ -191,7 +191,8 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     `queries` has query_id and the string parameters q, tags, workMode, seniority, employmentType, company,
     location, sourceName, postedFrom. Equal searches are evaluated once. Each one only meets the documents
     of its rarest condition, found in an inverted table of document terms, and is then checked in full.
-    Searches without any condition have nothing to look up and give no rows here; use `search`.
+    Searches without a condition that a term can meet, also those with only a date, share the first `k` documents in sort order:
+    the newest come first, so the ones after a date are the first of all.
     """
     params = ["q", "tags", "workMode", "seniority", "employmentType", "company", "location", "sourceName", "postedFrom"]
     keyed = queries.withColumn("combo", F.sha2(F.to_json(F.struct(*params)), 256))
@@ -205,11 +206,13 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     n_index = weights.agg(F.sum("df")).first()[0] or 0
 
     parts = combos.select("combo", F.explode("terms").alias("_c")).select("combo", "_c.part", "_c.kind", "_c.term")
-    # Words longer than a parameter may be cannot be asked for, so prefixes stop there.
+    asked = parts.filter(F.col("kind") == "prefix")
+    # Prefixes of the lengths that are asked for; a number per distinct length of a query's last word.
+    sizes = sorted(r.n for r in asked.select(F.length("term").alias("n")).distinct().collect())
+    lengths = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
     prefixes = weights.filter(F.col("term").startswith("w:")).select(
-        F.explode(F.transform(F.sequence(F.lit(3), F.least(F.length("term"), F.lit(202))), lambda n: F.left("term", n))).alias("prefix"),
+        F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("term")), lambda n: F.left("term", n))).alias("prefix"),
         F.col("term").alias("full"), "df")
-    asked = parts.filter(F.col("kind") == "prefix")
     widened = prefixes.join(asked.select(F.col("term").alias("prefix")).distinct(), "prefix", "left_semi")
     wide = asked.join(widened, asked.term == widened.prefix, "left").select("combo", "part", F.col("full").alias("term"), F.coalesce("df", F.lit(0)).alias("df"))
     exact = parts.filter(F.col("kind") == "exact").join(weights, "term", "left").select(
@@ -233,7 +236,7 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
         & (F.col("floor").isNull() | (F.col("postedAt") >= F.col("floor")))
     )
     words = F.transform(F.filter("terms", lambda t: t["part"] >= 100), lambda t: F.struct(
-        t["kind"].alias("kind"), F.substring(t["term"], 3, 400).alias("word")))
+        t["kind"].alias("kind"), t["term"].substr(F.lit(3), F.length(t["term"])).alias("word")))
 
     def best(w: Column) -> Column:
         out = F.lit(0.0)
@@ -245,11 +248,11 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
 
     score = F.aggregate(F.transform(words, best), F.lit(0.0), lambda a, b: a + b)
     hits = checked.filter(good).select("combo", "id", "postedAt", "capturedAt", score.alias("score"))
-    top = first_n(hits, ["combo"], [F.col("score").desc(), *sort_order(None)], k)
+    top = first_n(hits, ["combo"], [F.col("score").desc(), *sort_order(None)], k).select("combo", "rn", "id", "score")
+    newest = live.orderBy(*sort_order(None)).limit(k)
+    newest = newest.select("id", "postedAt", F.row_number().over(Window.orderBy(*sort_order(None))).alias("rn"))
+    open_ones = combos.filter(F.size("terms") == 0).select("combo", "floor")
+    after = F.col("floor").isNull() | (F.col("postedAt") >= F.col("floor"))
+    top = top.unionByName(open_ones.join(F.broadcast(newest), after).select("combo", "rn", "id", F.lit(0.0).alias("score")))  # k rows
     return spread_join(keyed.select("query_id", "combo"), top, ["combo"]).select("query_id", F.col("rn").alias("rank"), "id", "score")
 
-
-def unanchored(queries: DataFrame) -> DataFrame:
-    """Saved searches without any condition a document term could meet."""
-    return queries.filter(F.size(_query_terms()) == 0)
-

@@ -58,8 +58,8 @@ def search_oldest_first(spark, folder):
     return se.search(docs(spark, folder), sort="postedAt:ASC", page=0, page_size=500).select("id")
 
 
-@query(f"""WITH {_DOCS} SELECT id, CAST(4 + CASE WHEN title LIKE '% job 1%' THEN 4 WHEN contains(' ' || lower(company) || ' ', ' 1') THEN 3 ELSE 1 END AS DOUBLE) AS score FROM docs
-WHERE status = 'Active' AND seg = 'machinery' AND (title LIKE '% job 1%' OR loc LIKE 'Zone 1%')""")
+@query(f"""WITH {_DOCS} SELECT id, CAST(8 + CASE WHEN title LIKE '% job 1%' THEN 8 WHEN loc LIKE 'Zone 1%' THEN 5 ELSE 1 END AS DOUBLE) AS score FROM docs
+WHERE status = 'Active' AND seg = 'machinery' AND (title LIKE '% job 1%' OR loc LIKE 'Zone 1%' OR source LIKE '1-%')""")
 def search_text(spark, folder):
     return se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "Machinery 1").select("id", "score")
 
@@ -96,17 +96,25 @@ def source_list(spark, folder):
 
 
 @query(f"""WITH {_DOCS}, r AS (SELECT c.c_custkey AS query_id, d.id, row_number() OVER (PARTITION BY c.c_custkey ORDER BY d.posted DESC NULLS LAST, d.captured DESC, d.id) AS rank
-  FROM customer c JOIN docs d ON d.loc = 'Zone ' || c.c_nationkey AND d.seg = lower(c.c_mktsegment) AND d.status = 'Active'
-   AND (c.c_custkey % 2 = 1 OR d.lang = 'java') AND (c.c_custkey % 3 > 0 OR d.mode = 'Remote'))
-SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM r WHERE rank <= 5""")
+  FROM customer c JOIN docs d ON d.status = 'Active' AND c.c_custkey % 11 > 2 AND d.loc = 'Zone ' || c.c_nationkey AND d.seg = lower(c.c_mktsegment)
+   AND (c.c_custkey % 2 = 1 OR d.lang = 'java') AND (c.c_custkey % 3 > 0 OR d.mode = 'Remote')),
+newest AS (SELECT id, posted, k, row_number() OVER (ORDER BY posted DESC NULLS LAST, captured DESC, id) AS rank FROM docs WHERE status = 'Active'),
+long AS (SELECT id, row_number() OVER (ORDER BY posted DESC NULLS LAST, captured DESC, id) AS rank FROM docs WHERE status = 'Active' AND k % 1000 = 7),
+o AS (SELECT c_custkey AS query_id, id, rank FROM customer JOIN newest ON c_custkey % 11 = 0 OR (c_custkey % 11 = 1 AND posted >= TIMESTAMP '{FROM}')
+  UNION ALL SELECT c_custkey, id, rank FROM customer JOIN long ON c_custkey % 11 = 2
+  UNION ALL SELECT query_id, id, rank FROM r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id FROM o WHERE rank <= 5""")
 def saved_searches(spark, folder):
     key = F.col("c_custkey")
     none = F.lit(None).cast("string")
+    full = key % 11 > 2  # the others have no condition, only a date, or only a very long word
     queries = table(spark, folder, "customer").select(
-        key.alias("query_id"), F.initcap("c_mktsegment").alias("q"), F.when(key % 2 == 0, "java").alias("tags"), F.when(key % 3 == 0, "remote").alias("workMode"),
-        none.alias("seniority"), none.alias("employmentType"), none.alias("company"), F.concat(F.lit("zone "), F.col("c_nationkey").cast("string")).alias("location"),
-        none.alias("sourceName"), none.alias("postedFrom"))
-    return se.batch_search(queries, docs(spark, folder, heavy=True), 5).select("query_id", "rank", "id")
+        key.alias("query_id"), F.when(full, F.initcap("c_mktsegment")).when(key % 11 == 2, F.repeat(F.lit("y"), 500)).alias("q"), F.when(full & (key % 2 == 0), "java").alias("tags"),
+        F.when(full & (key % 3 == 0), "remote").alias("workMode"), none.alias("seniority"), none.alias("employmentType"), none.alias("company"),
+        F.when(full, F.concat(F.lit("zone "), F.col("c_nationkey").cast("string"))).alias("location"), none.alias("sourceName"), F.when(key % 11 == 1, str(FROM)).alias("postedFrom"))
+    found = docs(spark, folder, heavy=True)
+    long = F.when(F.col("id").cast("long") % 1000 == 7, F.concat("title", F.lit(" "), F.repeat(F.lit("Y"), 600))).otherwise(F.col("title"))
+    return se.batch_search(queries, found.withColumn("title", long), 5).select("query_id", "rank", "id")
 
 
 @query(f"""WITH {_DOCS} SELECT id, title, company, CASE WHEN k % 4 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS salary_min, CASE WHEN k % 4 = 0 THEN 'BRL' END AS currency,

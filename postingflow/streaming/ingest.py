@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postingflow.functions.text import is_blank
 from postingflow.operators.posting import to_search_doc
 from postingflow.plans.bulk import run_bulk
 from postingflow.plans.crawl import run_crawl
@@ -71,5 +72,10 @@ def start_bulk(spark: SparkSession, requests_path: str, table: str, checkpoint:
 
 
 def drop_replays(items: DataFrame, time_column: str = "arrived_at", within: str = "1 hour") -> DataFrame:
-    """Drop items whose origin URL was seen within the watermark; matching stays authoritative after it."""
-    return items.withWatermark(time_column, within).dropDuplicatesWithinWatermark(["origin_url"])
+    """Drop items whose origin URL was seen within the watermark; matching stays authoritative after it.
+
+    Items without an origin URL, null or blank, have nothing to compare and all pass.
+    """
+    timed = items.withWatermark(time_column, within)
+    without = is_blank(F.col("origin_url"))
+    return timed.filter(~without).dropDuplicatesWithinWatermark(["origin_url"]).unionByName(timed.filter(without))

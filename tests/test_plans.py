@@ -141,9 +141,10 @@ def test_client_key(one):
 
 def test_drop_replays(spark, tmp_path):
     rows = [("o1", datetime(2024, 1, 1)), ("o1", datetime(2024, 1, 1, 0, 5)), ("o2", datetime(2024, 1, 1))]
+    rows += [(none, datetime(2024, 1, 1, 0, i)) for i in range(3) for none in (None, "", " ")]
     frame = spark.createDataFrame(rows, "origin_url string, arrived_at timestamp")
     frame.write.parquet(str(tmp_path / "in"))
     stream = ingest.drop_replays(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("replays").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("replays").count() == 2
+    assert spark.table("replays").count() == 2 + 9
