@@ -53,18 +53,18 @@ def test_listing_tiers(spark):
         '<nav><a href="/as">Empresas</a></nav>'
         f'<script id="__NEXT_DATA__">{json.dumps(state)}</script>'
         '<div><a href="/vaga-de-dev-java__11111.aspx">Dup</a></div>'
-        '<div class="card"><a href="/vaga-de-pessoa-dados__22222.aspx">Pessoa <i>Dados</i></a>'
-        '<div>Empresa: Acme Tech</div><div>Local: Sao Paulo, SP</div><div>Salario: R$ 8.000 a 12.000 por mes</div></div>'
+        '<div class="card"><a href="/vaga-de-mestre-padeiro__22222.aspx">Mestre <i>Padeiro</i></a>'
+        '<div>Empresa: Vento Norte</div><div>Local: Recife, PE</div><div>Salario: R$ 3.500 a 4.200 por mes</div></div>'
         '<div class="card"><a href="https://www.infojobs.com.br/vaga-de-qa__33333.aspx">QA</a>'
-        '<div>Empresa: Stone Co.</div></div><a href="/vaga-x">no</a>'
+        '<div>Empresa: Ilha Ltda.</div></div><a href="/vaga-x">no</a>'
     )
     got = {r.url[-10:]: r for r in ex.extract_listing(pages(spark, html, url="https://www.infojobs.com.br/vagas.aspx")).collect()}
     assert set(got) == {"11111.aspx", "22222.aspx", "33333.aspx"}
     assert (got["11111.aspx"].company, got["11111.aspx"].title) == ("Um", "Dev Java")
     second = got["22222.aspx"]
-    assert (second.title, second.company, second.location_text) == ("Pessoa Dados", "Acme Tech", "Sao Paulo, SP")
-    assert second.salary_text == "R$ 8.000 a 12.000 por mes" and second.source_job_id == "22222"
-    assert (got["33333.aspx"].company, got["33333.aspx"].location_text) == ("Stone Co.", "")
+    assert (second.title, second.company, second.location_text) == ("Mestre Padeiro", "Vento Norte", "Recife, PE")
+    assert second.salary_text == "R$ 3.500 a 4.200 por mes" and second.source_job_id == "22222"
+    assert (got["33333.aspx"].company, got["33333.aspx"].location_text) == ("Ilha Ltda.", "")
 
 
 def test_anchor_tail(spark):

@@ -14,8 +14,8 @@ from test_sources import registry_frame, state_frame, state_row
 BOARD = "https://www.infojobs.com.br/vaga-de-"
 
 
-def card(n, text="Empresa: Acme Tech"):
-    return f'<a href="{BOARD}pessoa-dados__{n}.aspx">Pessoa Dados {n}</a><div>{text}</div><div>Local: Sao Paulo, SP</div>'
+def card(n, text="Empresa: Vento Norte"):
+    return f'<a href="{BOARD}mestre-padeiro__{n}.aspx">Mestre Padeiro {n}</a><div>{text}</div><div>Local: Recife, PE</div>'
 
 
 def ld(*jobs):
@@ -47,7 +47,7 @@ def test_crawl_pass(spark):
         spark, state_row("known", source_name="Acme", source_type="JsonLd", source_job_id="R1", source_url="https://acme/j/1", status="Expired"),
         state_row("stale", source_name="Acme", source_type="JsonLd", source_url="https://acme/j/77"),
         state_row("alien", source_name="Zed", source_url="https://z/1"))
-    detail = pages(spark, (f"{BOARD}pessoa-dados__11111.aspx", "<p>Python e remoto</p>", "Board", 200)).withColumn("page_id", F.col("page_id") + 100)
+    detail = pages(spark, (f"{BOARD}mestre-padeiro__11111.aspx", "<p>Python e remoto</p>", "Board", 200)).withColumn("page_id", F.col("page_id") + 100)
     r = run_crawl(frame, reg, old, F.lit(datetime(2024, 6, 1)), details=detail)
     got = {x.source_job_id or x.id: x for x in r.postings.collect()}
     assert set(got) == {"11111", "22222", "R1", "R2", "stale"}
