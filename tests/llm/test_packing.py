@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from postingflow.llm import packing
 from postingflow.llm.features import chunks
@@ -29,6 +30,17 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [_whole(x) for x in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "one", "É", " ", "  ", "\n", "<|", "|>", "'s", "\u00a0", "."]), max_size=12).map("".join), min_size=1, max_size=4))
+def test_special_tokens_written_in_a_text(texts):
+    fresh = Tokenizer.from_file(packing.default_vocabulary())
+    want = [fresh.encode(x, add_special_tokens=False).ids for x in ["one <|endoftext|> two", *texts]]
+    assert want[0] == [505, 220, 50256, 734]
+    for _, t in chunks(pa.array(["one <|endoftext|> two", *texts])):
+        ids, begin = _tokens.ids(t)
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == want
+
+
 def test_memory_that_fills_up(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 5)
     tokens = packing.WordTokens(packing.default_vocabulary())
