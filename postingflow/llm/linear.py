@@ -57,17 +57,35 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 400, r
     return w
 
 
+def convex_pu(p: np.ndarray, u: np.ndarray, prior: float, l2: float, steps: int = 300, rate: float = 0.05) -> np.ndarray:
+    """Weights of 0 or more, and a bias, that make the positive-unlabelled risk with the logistic loss least; the last column is all ones.
+
+    The logistic losses of a row as positive and as negative differ by its margin, so the risk is the mean of log(1 + exp(margin)) over
+    the unlabelled rows less ``prior`` times the mean margin of the positives. That is convex: the start doesn't decide what is found.
+    """
+    w, adam = np.zeros(p.shape[1]), _Adam(p.shape[1], rate)
+    w[-1] = np.log(prior / (1 - prior))
+    pull = prior * p.mean(axis=0, dtype=np.float64)
+    for _ in range(steps):
+        w = adam.step(w, _dot(u.T, sigmoid(_dot(u, w))) / len(u) - pull + l2 * np.append(w[:-1], 0))
+        w[:-1] = np.maximum(w[:-1], 0)
+    return w
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float = 1e-4, epochs: int = 60, batches: int = 8, rate: float = 0.05, seed: int = 0) -> np.ndarray:
     """Non-negative positive-unlabelled learning with the sigmoid loss; the last weight is the bias.
 
     The risk of negatives is that of the unlabelled rows less ``prior`` times that of the positives scored as negatives. Where a
     batch makes it negative, which the true risk can't be, the step goes up that part instead of down the whole. Weights stay at 0 or
-    above: the features are evidence for the positive class, and the absence of other evidence is the bias.
+    above: the features are evidence for the positive class, and the absence of other evidence is the bias. The sigmoid loss isn't
+    convex, and from weights of 0 only a feature that alone makes a row likelier positive than not would ever rise, so the steps start
+    at the minimum of the convex risk. Without positive or unlabelled rows nothing is known but the prior.
     """
+    if not len(positive) or not len(unlabelled):
+        return np.append(np.zeros(positive.shape[1]), np.log(prior / (1 - prior)))
     p = np.hstack([positive, np.ones((len(positive), 1), positive.dtype)])
     u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), unlabelled.dtype)])
-    w, adam, rng = np.zeros(p.shape[1]), _Adam(p.shape[1], rate), np.random.default_rng(seed)
-    w[-1] = -1.0
+    w, adam, rng = convex_pu(p, u, prior, l2), _Adam(p.shape[1], rate), np.random.default_rng(seed)
     for _ in range(epochs):
         for pi, ui in zip(np.array_split(rng.permutation(len(p)), batches), np.array_split(rng.permutation(len(u)), batches)):
             if not len(pi) or not len(ui):

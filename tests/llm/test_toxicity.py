@@ -27,6 +27,30 @@ def test_estimator_finds_the_class_behind_unlabelled_rows():
     assert hits[0] > 0.8 and hits[1] < 0.05
 
 
+def test_features_that_prove_nothing_alone_add_up():
+    """Six words at 0.6 against 0.1 in a class of a tenth; the best rule there is, which knows the shares, finds 0.82 of it."""
+    found, false = [], []
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+
+        def draw(n, toxic):
+            x = (rng.random((n, 40)) < 0.1).astype(np.float32)
+            if toxic:
+                x[:, :6] = rng.random((n, 6)) < 0.6
+            return x
+
+        w = nn_pu(draw(300, True), np.vstack([draw(1800, False), draw(200, True)]), 0.1)
+        for hits, toxic in ((found, True), (false, False)):
+            hits.append((sigmoid(draw(2000, toxic) @ w[:-1] + w[-1]) >= 0.5).mean())
+    assert np.mean(found) > 0.65 and np.mean(false) < 0.03
+
+
+def test_no_rows_of_a_kind_give_the_prior():
+    for p, u in ((0, 5), (5, 0)):
+        w = nn_pu(np.ones((p, 3), np.float32), np.ones((u, 3), np.float32), 0.1)
+        assert np.allclose(sigmoid(np.ones(3) @ w[:-1] + w[-1]), 0.1)
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
