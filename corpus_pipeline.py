@@ -13,10 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from postingflow.llm.mixing import mix_documents
-from postingflow.llm.nearcopies import keep_dissimilar
 from postingflow.llm.packing import pack_documents
+from postingflow.llm.simhash import keep_one
 from postingflow.llm.suffixes import remove_repeats
 from postingflow.llm.toxicity import keep_clean
+from postingflow.session import shared_folder
 
 ORACLE_SQL = None  # trained scores, tokens and suffix sorting can't be said in SQL; tests/llm compares with brute force
 
@@ -28,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by similarities of 0.8 or more (five-word shingles) stays."""
-    return keep_dissimilar(docs)
+    """One document, that with the smallest id, of each group of linked SimHash fingerprints stays."""
+    return keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -49,7 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
+    ("simhash", drop_near_copies),
     ("repeated_passages", cut_repeated_passages),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
@@ -58,7 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over documents. What a stage keeps is written to the shared checkpoint folder."""
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/corpus-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, folder)

@@ -57,6 +57,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="postingflow-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that every executor can reach; a temporary one only on a local master without a setting."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps iterative plans short."""
     _ensure_checkpoint_dir(df.sparkSession)
