@@ -104,6 +104,15 @@ def near_pairs(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTAN
     return out.unionAll(deep)
 
 
+def _members(nodes: DataFrame, bucket: int) -> DataFrame:
+    """fingerprint and component (the smallest fingerprint reachable) of the distinct fingerprints in ``nodes``."""
+    pairs = near_pairs(nodes.select(F.col("fingerprint").alias("fp")), bucket)
+    # Fingerprints are the nodes; ids may be missing.
+    found = smallest_reachable(pairs.where("x > y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
+        *nodes.columns, F.coalesce("component", "fingerprint").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row: the smallest doc_id reachable over links of 3 bits or fewer.
 
@@ -113,26 +122,37 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET)
     """
     rows = cut_lineage(fingerprints(docs, width))
     nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    pairs = near_pairs(nodes.select(F.col("fingerprint").alias("fp")), bucket)
-    # Fingerprints are the nodes; ids may be missing.
-    found = smallest_reachable(pairs.where("x > y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    member = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    member = cut_lineage(member)
+    member = cut_lineage(_members(nodes, bucket))
     smallest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = member.join(smallest, "component").select("fingerprint", "component_id")
     return rows.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The documents with the smallest id of their component, with their columns; of equal texts with that id one stays.
+def keep_one(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """One row, with all its columns, of each component: that with the smallest id.
 
-    Rows without an id are kept, as nothing says which of them comes first.
+    Rows without an id come after those with one; among rows alike in that, the smallest 128-bit digest of the whole row stays, and
+    rows alike in everything are one. Null, empty and wordless texts are one component. An empty table gives an empty one.
+    Columns may have any names.
     """
-    firsts = near_duplicates(docs.where("doc_id IS NOT NULL"), width).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).unionAll(docs.where("doc_id IS NULL"))
+    whole = F.struct(*docs.columns)
+    packed = docs.select(whole.alias("row"), "doc_id", "text", F.md5(F.to_json(whole, {"ignoreNullFields": "false"})).alias("digest"))
+    given = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            bits = np.fromiter((fingerprint(t, width) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("digest"), pa.array(bits.view(np.int64))], ["doc_id", "digest", "fingerprint"])
+
+    texts = packed.select("doc_id", "digest", F.col("text").cast("string").alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    nodes = cut_lineage(texts.mapInArrow(run, f"doc_id {given}, digest string, fingerprint long").groupBy("fingerprint").agg(first))
+    kept = cut_lineage(_members(nodes, bucket).groupBy("component").agg(F.min("first").alias("first")))
+    stays = packed.join(kept.select(F.col("first.digest").alias("digest")), "digest", "left_semi")
+    # Rows alike in everything have one digest; they meet only among the rows that stay.
+    return stays.groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:

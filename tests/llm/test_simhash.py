@@ -3,6 +3,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from postingflow.llm import simhash
 from postingflow.llm.components import smallest_reachable
@@ -92,8 +93,20 @@ def test_long_chain_of_links(spark):
 
 def test_keep_one_and_empty(spark):
     rows = [(5, "a b c d", "1", None), (2, "a b c d", "2", None), (9, "other words in this one", "3", None), (9, "other words in this one", "3", None),
-            (None, "a b c d", "4", None)]
+            (None, "a b c d", "4", None), (None, "no id but words of its own", "5", None), (None, "no id but words of its own", "6", None),
+            (7, None, "7", None), (8, "", "8", None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "n_chars", "component"]
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 9), (True, 0)]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(repr, [
+        (2, "a b c d"), (9, "other words in this one"), (None, "no id but words of its own"), (7, None)]))
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keep_one_is_one_row_of_each_component(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+    named = docs.withColumns({c: F.lit("own") for c in ("row", "digest", "fingerprint", "component", "first", "none", "node", "first_id")})
+    kept = simhash.keep_one(named, bucket=4)
+    assert kept.columns == named.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == want and all(r.digest == r.first == "own" for r in rows)
