@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postingflow.llm import balltree, contamination, language, merkle, mixing, packing, quality, sharding, simhash, suffixes, toxicity, urls
+from postingflow.llm import balltree, contamination, language, merkle, mixing, packing, quality, repair, sharding, simhash, suffixes, toxicity, urls
 
-MODULES = [language, simhash, suffixes, sharding, balltree, mixing, packing, quality, toxicity, urls, merkle, contamination]
+MODULES = [language, simhash, suffixes, sharding, balltree, mixing, packing, quality, toxicity, urls, repair, merkle, contamination]
 
 
 def all_queries() -> dict:
