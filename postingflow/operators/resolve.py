@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postingflow.functions.text import null_if_blank
-from postingflow.operators.dedupe import digest, follow_links
+from postingflow.operators.dedupe import digest
 from postingflow.operators import scan
 from postingflow.operators.scan import prefix_scan, spread_join
+from postingflow.operators.similar import follow_links
 from postingflow.session import cut_lineage
 
 KEYS = ["o", "src", "j", "u", "f"]

@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from postingflow.functions.identity import fingerprint
-from postingflow.operators import dedupe, lifecycle as lc, merge, posting
+from postingflow.operators import dedupe, lifecycle as lc, merge, posting, similar
 from postingflow.operators.scan import number_rows
 from postingflow.plans.bulk import run_bulk
-from postingflow.plans.catalog.common import pick, registrar, s_norm, s_pick, s_print, table
+from postingflow.plans.catalog.common import WS, pick, registrar, s_norm, s_pick, s_print, table
 from postingflow.plans.catalog.extraction import HOST, documents_as_jsonld, registry
 from postingflow.plans.crawl import run_crawl
 from postingflow.schema import STATE_COLUMNS, STATE_SCHEMA
@@ -326,11 +326,15 @@ def numbered_events(spark, folder):
     return number_rows(ev, ["_back", "event_id"]).select("event_id", "seq")
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT doc_id::VARCHAR AS id, list_sort(list_distinct([x FOR x IN regexp_split_to_array({s_norm('text')}, '[{WS}]+') IF x <> ''])) AS w FROM documents),
+s AS (SELECT min(id) AS a, w FROM n GROUP BY w), t AS (SELECT a, len(w) AS n, unnest(w) AS x FROM s),
+e AS (SELECT t.a, u.a AS b FROM t JOIN t u ON t.x = u.x AND t.a <> u.a GROUP BY t.a, u.a, t.n, u.n HAVING count(*) / (t.n + u.n - count(*)) >= 0.8),
+r AS (SELECT a, a AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT n.id, c.cluster_id FROM n JOIN s USING (w) JOIN (SELECT a, min(b) AS cluster_id FROM r GROUP BY a) c USING (a)""")
 def similar_clusters(spark, folder):
     df = table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.lit("").alias("company_name"), F.col("text").alias("description_text"))
-    return dedupe.cluster_similar(df)
+    return similar.cluster_similar(df)
 
 
 @query(f"""SELECT doc_id, 'ld' AS source_name, 'p' || doc_id AS id, {s_pick('doc_id', 'Active', 'Active')} AS status FROM documents""")

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F, types as T
 
-from postingflow.operators import dedupe, favorites as fav, lifecycle as lc, posting, quality, rank, search as se, views
+from postingflow.operators import dedupe, favorites as fav, lifecycle as lc, posting, quality, rank, search as se, similar, views
 from postingflow.schema import RAW_SCHEMA
 from test_sources import registry_frame, state_frame, state_row
 
@@ -178,7 +178,7 @@ def test_cluster_similar(spark):
     base = " ".join(f"word{i}" for i in range(60))
     rows = [("1", base), ("2", base + " extra"), ("3", base), ("4", "something quite different here"), ("5", base.replace("word7 ", ""))]
     df = spark.createDataFrame([(i, "t", "c", d) for i, d in rows], "id string, title string, company_name string, description_text string")
-    got = {r.id: r.cluster_id for r in dedupe.cluster_similar(df, 0.8).collect()}
+    got = {r.id: r.cluster_id for r in similar.cluster_similar(df, 0.8).collect()}
     assert got == {"1": "1", "2": "1", "3": "1", "4": "4", "5": "1"}
 
 
