@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -64,10 +65,17 @@ def search_text(spark, folder):
     return se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "Machinery 1").select("id", "score")
 
 
-@query(f"""WITH {_DOCS} SELECT id FROM docs WHERE status = 'Active' AND seg = 'household'""")
+@query(f"""WITH {_DOCS}, d AS (SELECT * FROM docs WHERE status = 'Active') SELECT 1 AS ask, id, 15.5::DOUBLE AS score FROM d WHERE seg = 'household'
+UNION ALL SELECT 2, id, 7.5 FROM d WHERE seg = 'household' UNION ALL SELECT 3, id, 8 FROM d WHERE seg = 'machinery'
+UNION ALL SELECT 4, id, 7.5 + CASE WHEN title LIKE '% job 1%' THEN 8 WHEN loc LIKE 'Zone 1%' THEN 5 ELSE 1 END FROM d
+  WHERE seg = 'furniture' AND (title LIKE '% job 1%' OR loc LIKE 'Zone 1%' OR source LIKE '1-%')
+UNION ALL SELECT 5, id, 6.5 FROM d WHERE lang = 'python' AND 0 = 1 UNION ALL SELECT 6, id, 11 FROM d WHERE lang = 'python'""")
 def search_with_typos(spark, folder):
-    return se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "housahold jab", typos=True).select("id").unionByName(
-        se.match_text(se.filter_docs(docs(spark, folder, heavy=True)), "housihuld", typos=True).select("id")).distinct()
+    live = se.filter_docs(docs(spark, folder, heavy=True))
+    index = se.build_index(live)
+    asked = ["housahold job", "housihuld", "MACH", "furnitur 1", "pythonesk", "pythom pythn"]
+    found = [se.match_index(live, index, q).select(F.lit(n + 1).alias("ask"), "id", "score") for n, q in enumerate(asked)]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query(f"""WITH {_DOCS}, d AS (SELECT * FROM docs WHERE status = 'Active') SELECT 'workMode' AS attribute, mode AS value, count(*) AS n FROM d GROUP BY 2

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -174,6 +175,34 @@ def test_duplicates_and_matching(spark):
     assert {r.seq: r.match_id for r in dedupe.match_crawl(inc, st).collect()} == {0: "2", 1: None, 2: None}
 
 
+def test_near_terms_are_all_found(spark):
+    """Every pair of words a few edits apart shares a deletion; the index answers like a scan of all terms."""
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(300)} | {"x" * 30, "x" * 31, "y" * 600}
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(sorted(terms))], "id string, title string").select(
+        "id", "title", *[F.lit(None).cast("array<string>" if f == "tags" else "string").alias(f) for f in se.TEXT_FIELDS[1:]])
+    index = se.build_index(docs)
+    near = index.near.groupBy("term").agg(F.collect_set("deletion").alias("deletions"))
+    asks = spark.createDataFrame([("".join(rng.choice("abc") for _ in range(rng.randint(5, 14))),) for _ in range(40)] + [("x" * 29,), ("y" * 602,), ("y" * 603,)], "ask string")
+    slack = F.when(F.length("ask") >= 9, 2).otherwise(1)
+    pairs = asks.join(index.terms).where(F.levenshtein("ask", "term") <= slack).join(near, "term")
+    missed = pairs.where(~F.arrays_overlap("deletions", se.deletions(F.col("ask"), slack)))
+    assert pairs.count() > 10 and missed.count() == 0
+    for (ask,) in asks.limit(2).collect() + [("y" * 602,)]:
+        want = {r.id: 8.0 if r.title.startswith(ask) else 7.5 for r in docs.select("id", "title").collect()
+                if r.title.startswith(ask) or _edits(ask, r.title) <= (2 if len(ask) >= 9 else 1)}
+        assert {r.id: r.score for r in se.match_index(docs, index, ask).collect()} == want
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row, last = [i + 1], row
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
 def test_cluster_similar(spark):
     base = " ".join(f"word{i}" for i in range(60))
     rows = [("1", base), ("2", base + " extra"), ("3", base), ("4", "something quite different here"), ("5", base.replace("word7 ", ""))]
