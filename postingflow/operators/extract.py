@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postingflow.functions import json_walk as jw
 from postingflow.functions.identity import (
@@ -281,23 +281,50 @@ def detail_description(html: Column) -> Column:
         p.rlike(DETAIL_BLOCK), F.when(marked, F.regexp_extract(p, DETAIL_BLOCK, 1)).otherwise(p)).otherwise(p)))
 
 
-def enrich_details(raw: DataFrame, details: DataFrame, registry: DataFrame, budget: int = 20) -> DataFrame:
-    """Fill blank descriptions from detail pages, at most the source's budget of rows, in list order.
+def first_items(df: DataFrame, limit: Column) -> DataFrame:
+    """The first `limit` rows of each source by (page_id, ord); all where `limit` is null.
 
-    `details` holds page_id, page_url, source_name and html of captured detail pages.
+    Pages are counted first. Only a source's first `limit` pages can hold its first rows, so its cut falls into one of those; rows of whole
+    pages pass, and only rows of one page are ever ordered together. Sources without a limit aren't looked at.
+    """
+    marked = df.withColumn("_limit", limit)
+    free = marked.filter(F.col("_limit").isNull()).drop("_limit")
+    capped = marked.filter(F.col("_limit") > 0)
+    pages = capped.groupBy("source_name", "page_id").agg(F.count(F.lit(1)).alias("_n"), F.first("_limit").alias("_limit"))
+    begun = first_n(pages, ["source_name"], [F.col("page_id")], F.col("_limit"))
+    before = Window.partitionBy("source_name").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = begun.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_start") < F.col("_limit")).select(
+        F.col("source_name").alias("_s"), F.col("page_id").alias("_p"), "_start")
+    hit = capped.join(starts, F.col("source_name").eqNullSafe(F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")))
+    at = F.row_number().over(Window.partitionBy("source_name", "page_id").orderBy("ord"))
+    kept = hit.withColumn("_at", at + F.col("_start")).filter(F.col("_at") <= F.col("_limit")).select(*df.columns)
+    return kept.unionByName(free)
+
+
+def _options(registry: DataFrame, *names: str) -> DataFrame:
+    """One row per source name: of several the least by these values, whatever order they come in."""
+    return registry.groupBy("source_name").agg(F.min(F.struct(*names)).alias("_o")).select("source_name", "_o.*")
+
+
+def enrich_details(raw: DataFrame, details: DataFrame, registry: DataFrame, budget: int | None = 20) -> DataFrame:
+    """Fill blank descriptions from detail pages, at most the source's budget of rows, in list order; None is no budget.
+
+    `details` holds page_id, page_url, source_name and html of captured detail pages; of several captures of
+    one page the newest counts, by fetched_at where there is one, else by page_id.
     """
     keys = ["source_name", "page_id", "ord", "url"]
-    own = F.when(F.col("family") == "workday", F.least(F.lit(max(budget, 0)), F.greatest(
-        F.coalesce("max_detail", F.lit(budget)), F.lit(0)))).otherwise(
-        F.when(F.col("max_detail") > 0, F.col("max_detail")).otherwise(F.lit(max(budget, 0))))
+    run = F.lit(None if budget is None else max(budget, 0)).cast("int")
+    own = F.when(F.col("family") == "workday", F.least(run, F.greatest(F.coalesce("max_detail", run), F.lit(0)))).otherwise(
+        F.when(F.col("max_detail") > 0, F.col("max_detail")).otherwise(run))
     needing = raw.filter(is_blank(F.col("description"))).select(*keys, "family", "external_path", "source_job_id")
-    options = registry.select("source_name", "max_detail", "base_host", "tenant", "site_name").dropDuplicates(["source_name"])
-    needing = option_join(needing, options, ["source_name"], "left").withColumn("_budget", own)
-    picked = first_n(needing, ["source_name"], [F.col("page_id"), F.col("ord")], F.col("_budget"))
+    options = _options(registry, "max_detail", "base_host", "tenant", "site_name")
+    picked = first_items(option_join(needing, options, ["source_name"], "left"), own)
     workday_url = F.concat(F.lit("https://"), trim_space(F.col("base_host")), workday_detail_path(
         F.col("tenant"), F.col("site_name"), F.col("external_path"), F.col("source_job_id")))
     picked = picked.select(*keys, F.when(F.col("family") == "workday", workday_url).otherwise(F.col("url")).alias("_at"))
-    pages = details.dropDuplicates(["page_url"]).join(picked.select(F.col("_at").alias("page_url")).distinct(), "page_url", "left_semi")
+    asked = details.join(picked.select(F.col("_at").alias("page_url")).distinct(), "page_url", "left_semi")
+    newest = F.struct(*[c for c in ("fetched_at", "page_id") if c in details.columns])
+    pages = asked.groupBy("page_url").agg(F.max_by(F.struct(*[c for c in details.columns if c != "page_url"]), newest).alias("_row")).select("page_url", "_row.*")
     structured = extract_jsonld(pages).groupBy("page_url").agg(F.min_by("description", "ord").alias("_ld"))
     longest = extract_detail_workday(pages).select("page_url", F.col("description").alias("_wd"))
     text = F.when(looks_like_json(F.col("html")), F.lit(None)).otherwise(detail_description(F.col("html")))
@@ -331,9 +358,8 @@ def truncate_pages(listing: DataFrame) -> DataFrame:
     return kept.filter(F.col("n_items").isNotNull()).drop("_end")
 
 
-def cap_items(raw: DataFrame, registry: DataFrame, default: int = 20) -> DataFrame:
-    """Keep the first items of each source: its own cap when set, else the run's, at least one."""
-    caps = registry.select("source_name", "max_items").dropDuplicates(["source_name"])
-    limit = F.when(F.col("max_items") > 0, F.col("max_items")).otherwise(F.lit(max(default, 1)))
-    ranked = first_n(option_join(raw, caps, ["source_name"], "left"), ["source_name"], [F.col("page_id"), F.col("ord")], limit)
-    return ranked.select(*raw.columns)
+def cap_items(raw: DataFrame, registry: DataFrame, default: int | None = 20) -> DataFrame:
+    """Keep the first items of each source: its own cap when set, else the run's, at least one; None is no cap."""
+    run = F.lit(None if default is None else max(default, 1)).cast("int")
+    limit = F.when(F.col("max_items") > 0, F.col("max_items")).otherwise(run)
+    return first_items(option_join(raw, _options(registry, "max_items"), ["source_name"], "left"), limit).select(*raw.columns)

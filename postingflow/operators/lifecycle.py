@@ -23,17 +23,27 @@ def batch_errors(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("message").isNotNull()).select("batch_id", "item_index", "source_job_id", "message")
 
 
-def run_counters(outcomes: DataFrame, run_at: Column) -> DataFrame:
-    """One run row per source from its item outcomes; any error marks that source's run, and only that, as failed."""
+def run_counters(outcomes: DataFrame, run_at: Column, visited: DataFrame | None = None) -> DataFrame:
+    """One run row per source from its outcomes; any error marks that source's run, and only that, as failed.
+
+    Outcomes of items are Inserted, Updated, Duplicate and Conflict; Rejected (by the gate), Blocked (pages) and Malformed
+    (blocks) are counted beside them, and Error is anything else that went wrong. Each source in `visited` (source_name,
+    source_type) has a row, also one that gave nothing.
+    """
     def n(*labels: str) -> Column:
         return F.count(F.when(F.col("outcome").isin(*labels), 1))
 
-    fetched = F.count(F.when(F.col("outcome") != "Error", 1))
-    errors = n("Conflict", "Error")
-    return outcomes.groupBy("source_name", "source_type").agg(
+    columns = ["source_name", "source_type", "outcome", "message"]
+    rows = outcomes.select(*columns)
+    if visited is not None:
+        rows = rows.unionByName(visited.select("source_name", "source_type", *[F.lit(None).cast("string").alias(c) for c in columns[2:]]).distinct())
+    fetched = F.count(F.when(~F.col("outcome").isin("Error", "Rejected", "Blocked", "Malformed"), 1))
+    errors = n("Conflict", "Error", "Malformed")
+    return rows.groupBy("source_name", "source_type").agg(
         fetched.alias("fetched"), fetched.alias("parsed"), fetched.alias("normalized"),
         n("Inserted", "Updated").alias("indexed"), n("Inserted").alias("inserted"), n("Updated").alias("updated"),
-        n("Duplicate").alias("duplicates"), errors.alias("errors"), F.min("message").alias("error_sample"),
+        n("Duplicate").alias("duplicates"), n("Rejected").alias("rejected"), n("Blocked").alias("blocked"), n("Malformed").alias("malformed"),
+        errors.alias("errors"), F.min("message").alias("error_sample"),
         F.when(errors > 0, "Failed").otherwise("Success").alias("status"),
     ).withColumns({"started_at": run_at, "finished_at": F.current_timestamp()})
 

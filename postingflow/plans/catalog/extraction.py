@@ -203,11 +203,14 @@ def enrich_within_budget(spark, folder):
 
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)
-SELECT doc_id AS page_id, source AS source_name FROM f WHERE rn <= CASE source WHEN 'src1' THEN 7 WHEN 'src2' THEN 1 ELSE 20 END""")
+SELECT 'run' AS run, doc_id // 3 AS page_id, doc_id % 3 AS ord, source AS source_name FROM f WHERE rn <= CASE source WHEN 'src1' THEN 7 WHEN 'src2' THEN 1 ELSE 20 END
+UNION ALL SELECT 'open', doc_id // 3, doc_id % 3, source FROM f WHERE rn <= CASE source WHEN 'src1' THEN 7 WHEN 'src2' THEN 1 ELSE rn END""")
 def cap_per_source(spark, folder):
-    raw = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("source_name"), F.lit(0).alias("ord"))
+    key = F.col("doc_id")
+    raw = table(spark, folder, "documents").select(F.floor(key / 3).alias("page_id"), F.col("source").alias("source_name"), (key % 3).alias("ord"))
     options = registry(spark, {"source_name": "src1", "max_items": 7}, {"source_name": "src2", "max_items": 1}, {"source_name": "src3", "max_items": 0})
-    return ex.cap_items(raw, options).select("page_id", "source_name")
+    capped = [ex.cap_items(raw, options, cap).select(F.lit(name).alias("run"), "page_id", "ord", "source_name") for name, cap in (("run", 20), ("open", None))]
+    return capped[0].unionByName(capped[1])
 
 
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN NULL ELSE 5 END AS n, o_orderkey % 13 = 0 AS blocked FROM orders),

@@ -314,12 +314,31 @@ def crawl_pass(spark, folder):
         "page_id", "page_url", "html", F.concat(F.lit("ld"), (key % 4).cast("string")).alias("source_name"),
         F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(200).alias("status"))
     options = registry(spark, *[{"source_name": f"ld{i}", "source_type": "JsonLd", "family": "jsonld", "start_url": f"{HOST}/list",
-                                 "max_items": 50 if i < 3 else 1 << 30} for i in range(4)])
-    result = run_crawl(found, options, spark.createDataFrame([], STATE_SCHEMA), F.lit(datetime(2024, 5, 1)))
+                                 "max_items": 50 if i < 3 else None} for i in range(4)])
+    result = run_crawl(found, options, spark.createDataFrame([], STATE_SCHEMA), F.lit(datetime(2024, 5, 1)), max_items=None)
     return result.postings.select("title", "source_url", "location_text", F.col("description_text").alias("description"),
                                   F.array_join("languages", ",").alias("languages"), "work_mode")
 
 
+@query("""WITH d AS (SELECT CASE doc_id % 8 WHEN 0 THEN 'ld0' WHEN 7 THEN 'ld0' WHEN 1 THEN 'ld1' WHEN 2 THEN 'Corp' WHEN 3 THEN 'off' WHEN 4 THEN 'TOTVS jobs' WHEN 5 THEN 'bad' ELSE 'walled' END AS s FROM documents),
+n AS (SELECT s, count(*) AS n FROM d WHERE s NOT IN ('off', 'TOTVS jobs') GROUP BY s UNION ALL SELECT 'quiet', 0 UNION ALL SELECT 'TOTVS jobs', 0)
+SELECT s AS source_name, CASE WHEN s IN ('Corp', 'TOTVS jobs') THEN 'CorporateCareers' ELSE 'JsonLd' END AS source_type, CASE WHEN s IN ('bad', 'walled') THEN 0 ELSE n END AS fetched,
+  CASE WHEN s IN ('bad', 'walled') THEN 0 ELSE n END AS inserted, CASE s WHEN 'walled' THEN n ELSE 0 END AS blocked, CASE s WHEN 'bad' THEN n ELSE 0 END AS malformed,
+  CASE s WHEN 'bad' THEN n ELSE 0 END AS errors, CASE s WHEN 'bad' THEN 'malformed JSON block' END AS error_sample, CASE s WHEN 'bad' THEN 'Failed' ELSE 'Success' END AS status FROM n""")
+def crawl_runs(spark, folder):
+    """Runs of sources that give postings, nothing, unreadable blocks or challenges, and of ones that are skipped or off."""
+    names = ["ld0", "ld1", "Corp", "off", "TOTVS jobs", "bad", "walled"]
+    name = pick(F.col("page_id") % 8, *names, "ld0")
+    broken = F.lit('<script type="application/ld+json">{"@type": "JobPosting", </script>')
+    html = F.when(name == "bad", broken).when(name == "walled", F.concat(F.lit("<p>Cloudflare</p>"), F.col("html"))).otherwise(F.col("html"))
+    found = documents_as_jsonld(spark, folder).select(
+        "page_id", "page_url", html.alias("html"), name.alias("source_name"), F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(200).alias("status"))
+    rows = [{"source_name": n, "source_type": "CorporateCareers" if n in ("Corp", "TOTVS jobs") else "JsonLd", "family": "jsonld", "start_url": f"{HOST}/list",
+             "enabled": n != "off"} for n in [*names, "quiet"]]
+    runs = run_crawl(found, registry(spark, *rows), spark.createDataFrame([], STATE_SCHEMA), F.lit(datetime(2024, 5, 1)), max_items=None).runs
+    return runs.select("source_name", "source_type", "fetched", "inserted", "blocked", "malformed", "errors", "error_sample", "status")
+
+
 @query("""SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS seq FROM events""")
 def numbered_events(spark, folder):
     ev = table(spark, folder, "events").select("event_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("_back"))

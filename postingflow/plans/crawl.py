@@ -16,7 +16,7 @@ from postingflow.operators.quality import quality_gate, unkeyed
 from postingflow.operators.scan import number_rows, option_join
 from postingflow.schema import RAW_SCHEMA, STATE_COLUMNS
 from postingflow.session import cut_lineage
-from postingflow.sources.scans import drop_blocked, skip_js_sources, source_registry
+from postingflow.sources.scans import drop_blocked, page_verdict, skip_js_sources, source_registry
 
 Extractor = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -30,6 +30,10 @@ FAMILIES: dict[str, Extractor] = {
 }
 
 
+# Families whose pages embed JSON that must be readable.
+EMBEDDED = {"listing": "state", "jsonld": "jsonld"}
+
+
 def register_family(name: str, extractor: Extractor) -> None:
     """Add or replace a page family."""
     FAMILIES[name] = extractor
@@ -46,6 +50,20 @@ def extract_all(pages: DataFrame, registry: DataFrame) -> DataFrame:
     return out
 
 
+def page_troubles(pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """source_name, source_type, outcome and message of pages that gave nothing: Blocked ones, and blocks of the others that are Malformed."""
+    named = registry.select("source_name", "source_type", "family")
+    judged = option_join(page_verdict(pages), named, ["source_name"])
+    blocked = judged.filter(F.col("verdict") == "blocked").select("source_name", "source_type", F.lit("Blocked").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    out = blocked
+    for family, kind in EMBEDDED.items():
+        read = judged.filter((F.col("verdict") == "ok") & (F.col("family") == family))
+        bad = ex.malformed_blocks(read, kind).select("source_name", F.col("error").alias("message"))
+        out = out.unionByName(option_join(bad, named.filter(F.col("family") == family), ["source_name"]).select(
+            "source_name", "source_type", F.lit("Malformed").alias("outcome"), "message"))
+    return out
+
+
 @dataclass
 class CrawlResult:
     postings: DataFrame
@@ -57,22 +75,29 @@ class CrawlResult:
 
 def run_crawl(
     pages: DataFrame, registry: DataFrame, state: DataFrame, run_at: Column, details: DataFrame | None = None,
-    samples: DataFrame | None = None, run_id: str = "run", max_items: int = 20, max_detail: int = 20,
+    samples: DataFrame | None = None, run_id: str = "run", max_items: int | None = 20, max_detail: int | None = 20,
     expire_days: int = 14, tag_mode: str = "token",
 ) -> CrawlResult:
     """Extract, gate, match and merge one pass over captured pages; expire what its sources no longer show.
 
-    `postings` holds every stored row the pass touched, ready to be written as a delta.
+    `postings` holds every stored row the pass touched, ready to be written as a delta. A source's own cap (else the run's) cuts
+    what is parsed, the gate comes next, then the run's cap on what passed it, so rejected items use neither that nor the
+    detail budget; None switches a cap off. `runs` has a row for each enabled source, also one that was skipped or gave nothing.
     """
-    usable = skip_js_sources(source_registry(registry))
+    enabled = source_registry(registry)
+    usable = skip_js_sources(enabled)
     # Raw postings are small next to the pages and are read several times below.
     raw = cut_lineage(ex.cap_items(extract_all(drop_blocked(pages), usable), usable, max_items))
+    accepted, rejected = quality_gate(raw)
+    if max_items is not None:
+        accepted = ex.first_items(accepted, F.lit(max(max_items, 1)))
     if details is not None:
-        raw = cut_lineage(ex.enrich_details(raw, drop_blocked(details), usable, max_detail))
-    raw = raw.withColumns({"file_name": F.lit(None).cast("string"), "raw_json": F.lit(None).cast("string")})
+        accepted = cut_lineage(ex.enrich_details(accepted, drop_blocked(details), usable, max_detail))
+    texts = {"file_name": F.lit(None).cast("string"), "raw_json": F.lit(None).cast("string")}
+    accepted, rejected = accepted.withColumns(texts), rejected.withColumns(texts)
     if samples is not None:
-        raw = raw.unionByName(samples.select(*[f.name for f in RAW_SCHEMA.fields], "file_name", "raw_json"))
-    accepted, rejected = quality_gate(raw)
+        more, refused = quality_gate(samples.select(*[f.name for f in RAW_SCHEMA.fields], "file_name", "raw_json"))
+        accepted, rejected = accepted.unionByName(more), rejected.unionByName(refused)
     nested = with_run_ts(to_posting(accepted, usable, tag_mode), run_at)
     flat = to_entity(nested, F.lit(""), ["page_id", "ord"]).withColumn("tags", normalize_tags(F.col("tags")))
     keyed, set_aside = unkeyed(flat)
@@ -83,7 +108,12 @@ def run_crawl(
     postings = cut_lineage(postings)
     labelled = outcomes.join(numbered.select("seq", "source_name", "source_type"), "seq").withColumn(
         "message", F.when(F.col("outcome") == "Conflict", "another posting holds this URL or source id"))
-    runs = run_counters(labelled, run_at)
+    types = usable.select("source_name", "source_type")
+    refused = option_join(rejected.select("source_name"), types, ["source_name"], "left").select(
+        "source_name", "source_type", F.lit("Rejected").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    columns = ["source_name", "source_type", "outcome", "message"]
+    events = labelled.select(*columns).unionByName(refused).unionByName(page_troubles(pages, usable))
+    runs = run_counters(events, run_at, enabled)
     seen = usable.select("source_name", "source_type").unionByName(labelled.select("source_name", "source_type")).distinct()
     rest = state.join(postings.select("id"), "id", "left_anti")
     gone = expire(rest, seen, run_at, expire_days).filter("expired_now").select(*STATE_COLUMNS)

@@ -55,7 +55,7 @@ def test_crawl_pass(spark):
     assert (got["11111"].description_text, got["11111"].work_mode, got["11111"].tags) == ("Python e remoto", "Remote", ["python"])
     assert [x.reject_reason for x in r.rejected.collect()] == ["unknown company"]
     runs = {x.source_name: (x.status, x.fetched, x.inserted, x.updated) for x in r.runs.collect()}
-    assert runs == {"Board": ("Success", 2, 2, 0), "Acme": ("Success", 2, 1, 1)}
+    assert runs == {"Board": ("Success", 2, 2, 0), "Acme": ("Success", 2, 1, 1), "Accenture": ("Success", 0, 0, 0)}
 
 
 def request(*items, name="feed"):
