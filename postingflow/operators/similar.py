@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postingflow.functions.text import normalize_text
 from postingflow.operators.scan import spread_join
-from postingflow.session import cut_lineage
+from postingflow.session import cut_lineage, stored
 
 BUCKETS = 1 << 16   # words share a frequency by hash: a table of fixed size
 MAP_LONGS = 4
@@ -52,7 +52,7 @@ def _described(sets: DataFrame, threshold: float) -> DataFrame:
         return F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s % 64)))
 
     rows = sets.where(F.size("words") > 0).select("leader", n.alias("n"), p.alias("p"), ordered.alias("ordered"), spots.alias("spots"))
-    return cut_lineage(rows.select(
+    return stored(rows.select(
         "leader", "n", "p", F.transform(F.slice("ordered", F.lit(1), F.col("p") + DEEPER), lambda s: s["h"]).alias("keys"),
         F.array(*[part(i) for i in range(MAP_LONGS)]).alias("map")))
 
@@ -82,12 +82,11 @@ def similar_links(sets: DataFrame, threshold: float, paired: int = PAIRED) -> Da
     ``paired`` changes the work, not what is connected.
     """
     described = _described(sets, threshold)
-    rows = described.select("leader", "n", "p", "keys", F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("at", "key"))
-    rows = rows.select("key", "leader", "n", "p", "at")
+    rows = described.select("leader", "n", F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("at", "key"))
     links, labels = None, None
     for level in range(DEEPER + 1):
         held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-        shared = cut_lineage(rows.join(held, "key"))
+        shared = stored(rows.join(held, "key"))
         few = shared.where(F.col("held") <= paired) if level < DEEPER else shared
         found = _verified(_pairs(few, threshold, labels), described, sets, threshold)
         links = found if links is None else links.unionAll(found)
@@ -102,10 +101,10 @@ def similar_links(sets: DataFrame, threshold: float, paired: int = PAIRED) -> Da
         labels = follow_links(links)
         labelled = cut_lineage(hot.join(labels, "leader", "left").withColumn("label", F.coalesce("label", "leader")))
         apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(apart, "key").select("key", "leader", "n", "p", "at")
-        later = left.join(described.select("leader", "keys"), "leader").select(
-            "leader", "n", "p", "key", "at", F.posexplode(F.slice("keys", F.lit(1), F.col("p") + level + 1)).alias("next", "word"))
-        rows = later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "leader", "n", "p", F.col("next").alias("at"))
+        left = labelled.join(apart, "key").select("key", "leader", "n", "at")
+        later = left.join(described.select("leader", "keys", "p"), "leader").select(
+            "leader", "n", "key", "at", F.posexplode(F.slice("keys", F.lit(1), F.col("p") + level + 1)).alias("next", "word"))
+        rows = later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "leader", "n", F.col("next").alias("at"))
     return links
 
 
@@ -126,7 +125,7 @@ def cluster_similar(postings: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     keyed = postings.select("id", word_set(F.concat_ws(" ", "title", "company_name", "description_text")).alias("words")).withColumn(
         "set_key", F.sha2(F.array_join(F.array_sort("words"), " "), 256))
-    sets = cut_lineage(keyed.groupBy("set_key").agg(F.min("id").alias("leader"), F.min_by("words", "id").alias("words")))
+    sets = stored(keyed.groupBy("set_key").agg(F.min("id").alias("leader"), F.min_by("words", "id").alias("words")))
     labels = follow_links(similar_links(sets.select("leader", "words"), threshold))
     clusters = sets.join(labels, "leader", "left").select("set_key", F.coalesce("label", "leader").alias("cluster_id"))
     return spread_join(keyed.select("id", "set_key"), clusters, ["set_key"]).select("id", "cluster_id")
