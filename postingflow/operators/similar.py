@@ -57,21 +57,23 @@ def _described(sets: DataFrame, threshold: float) -> DataFrame:
         F.array(*[part(i) for i in range(MAP_LONGS)]).alias("map")))
 
 
-def _like_sized(threshold: float) -> Column:
-    return F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+def _may_be_similar(threshold: float, level: int) -> Column:
+    """Whether sets (n words, shared one at place ``at``, ``map``) and (m, ``there``, ``other``) can be similar, from these alone.
 
+    Under the first words that two sets share (one more than ``level``), all else that they share comes later in both; under others the place
+    says nothing, but similar sets meet under those too. Each bit in which the maps differ is a word of one set only.
+    """
+    sizes = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+    later = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) + level >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
+    differ = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("other")[i])) for i in range(MAP_LONGS)), F.lit(0))
+    return sizes & later & (differ <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
 
-def _verified(pairs: DataFrame, described: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (leader, head) whose sets are similar: first by their maps, then by their words."""
-    def side(name: str, value: str, suffix: str) -> DataFrame:
-        return (described if value == "map" else sets).select(F.col("leader").alias(name), *([F.col("n").alias(f"n{suffix}")] if value == "map" else []), F.col(value).alias(f"{value}{suffix}"))
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (leader, head) whose sets are similar, by their words."""
     # A set that meets very many others is a skewed partition, which adaptive execution splits.
-    mapped = pairs.distinct().join(side("leader", "map", "a"), "leader").join(side("head", "map", "b"), "head")
-    differ = sum((F.bit_count(F.col("mapa")[i].bitwiseXOR(F.col("mapb")[i])) for i in range(MAP_LONGS)), F.lit(0))
-    # Each bit that differs is a word of one set only; similar sets have at most (n + m) (1 - t) / (1 + t) of them.
-    near = mapped.where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("leader", "head")
-    both = near.join(side("leader", "words", "a"), "leader").join(side("head", "words", "b"), "head")
+    a, b = (sets.select(F.col("leader").alias(name), F.col("words").alias(words)) for name, words in (("leader", "wordsa"), ("head", "wordsb")))
+    both = pairs.distinct().join(a, "leader").join(b, "head")
     common = F.size(F.array_intersect("wordsa", "wordsb"))
     return cut_lineage(both.where(common / (F.size("wordsa") + F.size("wordsb") - common) >= threshold).select("leader", "head"))
 
@@ -82,40 +84,43 @@ def similar_links(sets: DataFrame, threshold: float, paired: int = PAIRED) -> Da
     ``paired`` changes the work, not what is connected.
     """
     described = _described(sets, threshold)
-    rows = described.select("leader", "n", F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("at", "key"))
+    rows = described.select("leader", "n", "map", F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("at", "key"))
     links, labels = None, None
     for level in range(DEEPER + 1):
         held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
         shared = stored(rows.join(held, "key"))
         few = shared.where(F.col("held") <= paired) if level < DEEPER else shared
-        found = _verified(_pairs(few, threshold, labels), described, sets, threshold)
+        found = _verified(_pairs(few, threshold, level, labels), sets, threshold)
         links = found if links is None else links.unionAll(found)
         hot = shared.where(F.col("held") > paired)
         if level == DEEPER or hot.isEmpty():
             break
         # One set of each hot word meets all the others of its size; the words whose sets are all connected then are done with.
-        heads = hot.groupBy("key").agg(F.min_by(F.struct("leader", "n"), F.struct(F.xxhash64("leader"), "leader")).alias("h"))
-        near = hot.join(heads.select("key", F.col("h.leader").alias("head"), F.col("h.n").alias("m")), "key")
-        links = links.unionAll(_verified(near.where(_like_sized(threshold) & (F.col("leader") != F.col("head"))).select(
-            F.greatest("leader", "head").alias("leader"), F.least("leader", "head").alias("head")), described, sets, threshold))
+        heads = hot.groupBy("key").agg(F.min_by(F.struct("leader", "n", "at", "map"), F.struct(F.xxhash64("leader"), "leader")).alias("h"))
+        named = heads.select("key", *[F.col(f"h.{c}").alias(to) for c, to in _OTHER.items()])
+        near = hot.join(named, "key").where((F.col("leader") != F.col("head")) & _may_be_similar(threshold, level))
+        links = links.unionAll(_verified(near.select(F.greatest("leader", "head").alias("leader"), F.least("leader", "head").alias("head")), sets, threshold))
         labels = follow_links(links)
         labelled = cut_lineage(hot.join(labels, "leader", "left").withColumn("label", F.coalesce("label", "leader")))
         apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(apart, "key").select("key", "leader", "n", "at")
+        left = labelled.join(apart, "key").select("key", "leader", "n", "at", "map")
         later = left.join(described.select("leader", "keys", "p"), "leader").select(
-            "leader", "n", "key", "at", F.posexplode(F.slice("keys", F.lit(1), F.col("p") + level + 1)).alias("next", "word"))
-        rows = later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "leader", "n", F.col("next").alias("at"))
+            "leader", "n", "map", "key", "at", F.posexplode(F.slice("keys", F.lit(1), F.col("p") + level + 1)).alias("next", "word"))
+        rows = later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "leader", "n", "map", F.col("next").alias("at"))
     return links
 
 
-def _pairs(shared: DataFrame, threshold: float, labels: DataFrame | None) -> DataFrame:
-    """Pairs (leader, head) of sets of like size under one key that aren't connected yet."""
-    left = shared.select("key", "leader", "n")
+_OTHER = {"leader": "head", "n": "m", "at": "there", "map": "other"}  # columns of the second set of a pair
+
+
+def _pairs(shared: DataFrame, threshold: float, level: int, labels: DataFrame | None) -> DataFrame:
+    """Pairs (leader, head) of sets under one key that may be similar and aren't connected yet."""
+    left = shared.select("key", *_OTHER)
     if labels is not None:
-        left = left.join(labels, "leader", "left").select("key", "leader", "n", F.coalesce("label", "leader").alias("label"))
-    right = left.withColumnsRenamed({"leader": "head", "n": "m", "label": "other"})
-    pairs = left.join(right, "key").where((F.col("leader") > F.col("head")) & _like_sized(threshold))
-    return (pairs if labels is None else pairs.where("label != other")).select("leader", "head")
+        left = left.join(labels, "leader", "left").withColumn("label", F.coalesce("label", "leader"))
+    right = left.withColumnsRenamed(_OTHER | {"label": "group"})
+    pairs = left.join(right, "key").where((F.col("leader") > F.col("head")) & _may_be_similar(threshold, level))
+    return (pairs if labels is None else pairs.where("label != group")).select("leader", "head")
 
 
 def cluster_similar(postings: DataFrame, threshold: float = 0.8) -> DataFrame:
