@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from dataclasses import dataclass, field
 from itertools import chain
@@ -25,6 +26,14 @@ from postingflow.session import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 REMEMBERED = 600_000
+LINE = 200
+_WORD = re.compile(r" ?\S+")
+# Kinds of bytes that a text may be cut between; 0: never.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 3
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+KIND[0x30:0x3A] = 2
+KIND[[0x27, 0x7C]] = 0
 PIECE_SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,9 +46,10 @@ def default_vocabulary() -> str:
 class WordTokens:
     """Token ids of whole texts from a ``tokenizers`` byte-level vocabulary, with the ids of seen word chunks remembered.
 
-    A text may be cut before a single space between visible characters: the vocabulary's pattern always begins a token there, so the
-    ids of the parts laid end to end are the ids of the text. Equal parts are encoded once; the memory holds REMEMBERED parts, and when
-    it is full those met least often leave it.
+    A text may be cut before a single space between visible characters, and between an ASCII letter, digit or other sign and one of another
+    of these kinds: the vocabulary's pattern always begins a token there, so the ids of the parts laid end to end are the ids of the text.
+    Never beside ``'``, which may begin a shortened word, nor beside ``|``, so that ``<|endoftext|>`` stays whole. Equal parts are encoded
+    once; the memory holds REMEMBERED parts, and when it is full those met least often leave it.
     """
 
     def __init__(self, path: str):
@@ -47,6 +57,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_break = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, np.uint32)
         self._forget()
 
     def _forget(self) -> None:
@@ -70,16 +81,30 @@ class WordTokens:
         self.known = {names[i]: k for k, i in enumerate(often.tolist())}
         self.met = met[often] // 2
 
+    def _encode(self, parts: list[str], line: int) -> tuple[np.ndarray, list[int]]:
+        """Ids of all parts end to end, and how many each has; ``line`` parts are encoded at once, with a line break between two."""
+        lines = ["\n".join(parts[i:i + line]) for i in range(0, len(parts), line)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        if line == 1:
+            return np.concatenate(found), list(map(len, found))
+        ids = np.concatenate(list(chain.from_iterable((f, self.line_break) for f in found)))
+        breaks = np.flatnonzero(ids == self.line_break[0])
+        return np.delete(ids, breaks), (np.diff(breaks, prepend=-1) - 1).tolist()
+
     def _learn(self, parts: list[bytes]) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at:at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in some], add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(found), np.uint32)
-            while self.ends[-1] + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.ends[-1]:self.ends[-1] + len(ids)] = ids
-            self.known.update(zip(some, range(len(self.ends) - 1, len(self.ends) - 1 + len(some))))
-            self.ends.extend((self.ends[-1] + np.cumsum([len(f) for f in found])).tolist())
+        """Ids of parts not met before. Those without white space but for a space before them are encoded in lines of many: the line break
+        between two of them is always a token of its own."""
+        texts = [p.decode("utf-8") for p in parts]
+        alone = [len(self.line_break) != 1 or not _WORD.fullmatch(x) for x in texts]
+        for line, some in ((LINE, [i for i, a in enumerate(alone) if not a]), (1, [i for i, a in enumerate(alone) if a])):
+            for at in range(0, len(some), 20_000):
+                now = some[at:at + 20_000]
+                ids, sizes = self._encode([texts[i] for i in now], line)
+                while self.ends[-1] + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.flat[self.ends[-1]:self.ends[-1] + len(ids)] = ids
+                self.known.update(zip([parts[i] for i in now], range(len(self.ends) - 1, len(self.ends) - 1 + len(now))))
+                self.ends.extend((self.ends[-1] + np.cumsum(sizes)).tolist())
 
     def ids(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's begin (one more than texts)."""
@@ -90,6 +115,8 @@ class WordTokens:
         before[1:] |= d[:-1] == 0xC3
         cut = np.zeros(len(d), bool)
         cut[1:-1] = (d[1:-1] == 0x20) & before[:-2] & after[2:]
+        kind = KIND[d]
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
         closing = t.starts[1:] - 1
         cut[closing] = False
         cut[t.starts[:-1]] = True
@@ -99,11 +126,16 @@ class WordTokens:
         ends[last] = closing
         keep = ends > starts
         starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(t) + 1, np.int64)
         lengths = ends - starts
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        take = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
-        values = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(d[take])]).dictionary_encode()
-        parts = values.dictionary.to_pylist()
+        inner = np.ones(len(d), bool)
+        inner[closing] = False
+        values = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(d[inner])]).dictionary_encode()
+        held = values.dictionary.buffers()
+        raw, limits = held[2].to_pybytes(), np.frombuffer(held[1], np.int64)[:len(values.dictionary) + 1].tolist()
+        parts = [raw[a:b] for a, b in zip(limits, limits[1:])]
         if len(self.known) + len(parts) > REMEMBERED:
             self._make_room()
         new = [p for p in parts if p not in self.known]

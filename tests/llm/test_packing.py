@@ -1,5 +1,6 @@
 """Token ids against the tokenizer on whole texts, plans against their own rules."""
 
+import copy
 import random
 import zlib
 from collections import defaultdict
@@ -30,6 +31,16 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [_whole(x) for x in texts]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1 2'|sre.,(<>\u00a0é\n"), max_size=40), min_size=1, max_size=5))
+def test_ids_where_letters_digits_and_signs_meet(texts):
+    fresh = copy.copy(_tokens)
+    fresh._forget()
+    for _, t in chunks(pa.array(texts)):
+        ids, begin = fresh.ids(t)
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [_whole(x) for x in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "one", "É", " ", "  ", "\n", "<|", "|>", "'s", "\u00a0", "."]), max_size=12).map("".join), min_size=1, max_size=4))
 def test_special_tokens_written_in_a_text(texts):
