@@ -6,13 +6,13 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postingflow.functions.infer import parse_enum
 from postingflow.functions.text import normalize_text, null_if_blank, parse_date, parse_tag_csv
-from postingflow.operators.scan import first_n, spread_join
+from postingflow.operators.scan import first_n, number_rows, spread_join
 from postingflow.schema import ENUMS
-from postingflow.session import cut_lineage
+from postingflow.session import cut_lineage, stored
 
 TEXT_FIELDS = ["title", "company", "tags", "locationText", "workMode", "seniority", "employmentType", "sourceName"]
 ENUM_FIELDS = {"workMode": "WorkMode", "seniority": "Seniority", "employmentType": "EmploymentType"}
@@ -246,13 +246,17 @@ def list_sources(sources: DataFrame) -> DataFrame:
     return sources.select("id", "name", "type", "base_url", "enabled").orderBy("name")
 
 
-def _doc_terms(tokens: list[str]) -> Column:
-    """Everything a saved search can ask of a document: its words, field values and tags."""
-    words = F.array_distinct(F.concat(*tokens))
+def _doc_terms() -> Column:
+    """Everything a saved search can ask of a document, as (term, weight): its words with the weight of their field, its field values and tags."""
+    def weighed(terms: Column, weight: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    words = [weighed(F.transform(_tokens(f), lambda t: F.concat(F.lit("w:"), t)), int(w)) for f, w in zip(TEXT_FIELDS, _weights())]
     fields = [F.concat(F.lit(f"{f}="), F.lower(F.col(f))) for f in [*ENUM_FIELDS, *PLAIN_FIELDS.values()]]
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag="), t))
-    terms = F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.array(*fields), tags)
-    return F.array_distinct(F.filter(terms, lambda t: t.isNotNull()))
+    tags = F.transform(F.col("tags"), lambda t: F.concat(F.lit("tag="), t))
+    plain = [weighed(terms, 0) for terms in (F.array(*fields), tags)]
+    none = F.array().cast("array<struct<term:string,weight:int>>")
+    return F.filter(F.concat(*[F.coalesce(terms, none) for terms in [*words, *plain]]), lambda t: t["term"].isNotNull())
 
 
 def _query_terms() -> Column:
@@ -273,74 +277,113 @@ def _query_terms() -> Column:
     return F.filter(F.concat(texts, F.array(*fields), tags), lambda t: t["term"].isNotNull())
 
 
+BLOCK = 1 << 10  # documents of a block, in sort order
+GROWTH = 8       # how many more blocks each further round reads
+
+
+def _asked_lists(asked: DataFrame, ranked: DataFrame) -> DataFrame:
+    """key, block and entries: the documents that have what is asked, as ``place in the block * 16 + weight``, at most BLOCK of them.
+
+    A prefix has a list of its own, made of those of the terms that it begins. Terms that nobody asks for have none.
+    """
+    postings = cut_lineage(ranked.select("pos", F.explode(_doc_terms()).alias("t")).select("pos", "t.term", "t.weight"))
+    terms = cut_lineage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    prefixed = asked.filter(F.col("kind") == "prefix")
+    # Prefixes of the lengths that are asked for; a number per distinct length of a query's last word.
+    sizes = sorted(r.n for r in prefixed.select(F.length("term").alias("n")).distinct().collect())
+    lengths = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
+    begun = terms.filter(F.col("term").startswith("w:")).select("term", F.explode(F.transform(
+        F.filter(lengths, lambda n: n <= F.length("term")), lambda n: F.left("term", n))).alias("prefix"))
+    wide = begun.join(prefixed.select(F.col("term").alias("prefix"), "key"), "prefix").select("term", "key")
+    exact = asked.filter(F.col("kind") == "exact").join(terms, "term", "left_semi").select("term", "key")
+    n_postings = terms.agg(F.sum("n")).first()[0] or 0
+    met = spread_join(postings, cut_lineage(exact.unionByName(wide)), ["term"], rows=n_postings)
+    best = met.groupBy("key", "pos").agg(F.max("weight").alias("weight"))
+    entry = (F.col("pos") % BLOCK * 16 + F.col("weight")).cast("int")
+    lists = best.groupBy("key", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+        F.collect_list(entry).alias("entries"), F.max("weight").alias("top"))
+    # In the order of blocks, so that a round reads its own row groups only.
+    return stored(lists.repartitionByRange("block", "key").sortWithinPartitions("block", "key"))
+
+
+def _round(live: DataFrame, parts: DataFrame, here: DataFrame) -> DataFrame:
+    """combo, pos and score of the documents of some blocks that meet all parts of a live search.
+
+    A search looks only into blocks in which its rarest part occurs, and lists are laid over each other as arrays: rows are made of
+    documents only where a block has a hit.
+    """
+    first = parts.filter("rarest").join(live.select("combo"), "combo").join(here.select("key", "block"), "key").select("combo", "block").distinct()
+    fetched = first.join(parts.select("combo", "part", "key"), "combo").join(here.select("key", "block", "entries"), ["key", "block"])
+    # Tags are the only part with several keys; all have weight 0, so a document's entries are equal.
+    merged = fetched.groupBy("combo", "block", "part").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
+    whole = merged.groupBy("combo", "block").agg(F.collect_list("entries").alias("lists")).join(live.select("combo", "n_parts"), "combo")
+    places = F.transform("lists", lambda entries: F.transform(entries, lambda e: F.shiftright(e, 4)))
+    common = F.aggregate(places, F.try_element_at(places, F.lit(1)), F.array_intersect)
+    hits = whole.filter((F.size("lists") == F.col("n_parts")) & (F.size(common) > 0))
+    rows = hits.select("combo", "block", "n_parts", F.explode("lists").alias("entries")).select(
+        "combo", "block", "n_parts", F.explode("entries").alias("e"))
+    rows = rows.groupBy("combo", (F.col("block") * BLOCK + F.shiftright("e", 4)).alias("pos"), "n_parts").agg(
+        F.count(F.lit(1)).alias("met"), F.sum(F.col("e") % 16).cast("double").alias("score"))
+    return rows.filter(F.col("met") == F.col("n_parts")).select("combo", "pos", "score")
+
+
 def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     """First `k` hits of each saved search: query_id, rank, id, score.
 
     `queries` has query_id and the string parameters q, tags, workMode, seniority, employmentType, company,
-    location, sourceName, postedFrom. Equal searches are evaluated once. Each one only meets the documents
-    of its rarest condition, found in an inverted table of document terms, and is then checked in full.
+    location, sourceName, postedFrom. Equal searches are evaluated once. Documents are numbered in sort order and dealt to blocks;
+    every term or prefix that is asked for has a list of places in each block. Rounds read ever more blocks, first the newest:
+    a search leaves when it has `k` hits that no later document can beat (its words' best weights bound the score) or when the rest is
+    older than its date. So a term that very many documents have is read a few blocks deep by searches with plenty of hits.
     Searches without a condition that a term can meet, also those with only a date, share the first `k` documents in sort order:
     the newest come first, so the ones after a date are the first of all.
     """
     params = ["q", "tags", "workMode", "seniority", "employmentType", "company", "location", "sourceName", "postedFrom"]
     keyed = queries.withColumn("combo", F.sha2(F.to_json(F.struct(*params)), 256))
-    combos = keyed.select("combo", *params).dropDuplicates(["combo"]).select(
-        "combo", _query_terms().alias("terms"), F.date_trunc("day", parse_date(F.col("postedFrom"))).alias("floor"))
-    live = active_only(docs)
-    tokens = {f"_t{i}": _tokens(f) for i, f in enumerate(TEXT_FIELDS)}
-    described = cut_lineage(live.withColumns(tokens).select("id", "postedAt", "capturedAt", *tokens, _doc_terms(list(tokens)).alias("doc_terms")))
-    index = described.select("id", F.explode("doc_terms").alias("term"))
-    weights = cut_lineage(index.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    n_index = weights.agg(F.sum("df")).first()[0] or 0
-
-    parts = combos.select("combo", F.explode("terms").alias("_c")).select("combo", "_c.part", "_c.kind", "_c.term")
-    asked = parts.filter(F.col("kind") == "prefix")
-    # Prefixes of the lengths that are asked for; a number per distinct length of a query's last word.
-    sizes = sorted(r.n for r in asked.select(F.length("term").alias("n")).distinct().collect())
-    lengths = F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")
-    prefixes = weights.filter(F.col("term").startswith("w:")).select(
-        F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("term")), lambda n: F.left("term", n))).alias("prefix"),
-        F.col("term").alias("full"), "df")
-    widened = prefixes.join(asked.select(F.col("term").alias("prefix")).distinct(), "prefix", "left_semi")
-    wide = asked.join(widened, asked.term == widened.prefix, "left").select("combo", "part", F.col("full").alias("term"), F.coalesce("df", F.lit(0)).alias("df"))
-    exact = parts.filter(F.col("kind") == "exact").join(weights, "term", "left").select(
-        "combo", "part", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    options = exact.unionByName(wide)
-    cost = options.groupBy("combo", "part").agg(F.sum("df").alias("cost"))
-    anchor = cost.groupBy("combo").agg(F.min_by("part", F.struct("cost", "part")).alias("part"))
-    anchors = options.join(anchor, ["combo", "part"]).filter(F.col("df") > 0).select("combo", "term")
-    pairs = cut_lineage(spread_join(index, anchors, ["term"], rows=n_index).select("combo", "id").distinct())
-    n_pairs = pairs.count()
-
-    checked = spread_join(pairs, described, ["id"], rows=n_pairs)
-    checked = spread_join(checked, combos, ["combo"], rows=n_pairs)
-    plain = F.filter("terms", lambda t: (t["kind"] == "exact") & (t["part"] != 20))
-    begun = F.filter("terms", lambda t: t["kind"] == "prefix")
-    any_tag = F.transform(F.filter("terms", lambda t: t["part"] == 20), lambda t: t["term"])
-    good = (
-        (F.size(F.array_except(F.transform(plain, lambda t: t["term"]), F.col("doc_terms"))) == 0)
-        & F.forall(begun, lambda t: F.exists("doc_terms", lambda d: d.startswith(t["term"])))
-        & ((F.size(any_tag) == 0) | F.arrays_overlap(any_tag, F.col("doc_terms")))
-        & (F.col("floor").isNull() | (F.col("postedAt") >= F.col("floor")))
-    )
-    words = F.transform(F.filter("terms", lambda t: t["part"] >= 100), lambda t: F.struct(
-        t["kind"].alias("kind"), t["term"].substr(F.lit(3), F.length(t["term"])).alias("word")))
-
-    def best(w: Column) -> Column:
-        out = F.lit(0.0)
-        for i in reversed(range(len(TEXT_FIELDS))):
-            weight = float(len(TEXT_FIELDS) - i)
-            hit = F.when(w["kind"] == "prefix", F.exists(f"_t{i}", lambda t: t.startswith(w["word"]))).otherwise(F.array_contains(f"_t{i}", w["word"]))
-            out = F.when(hit, F.lit(weight)).otherwise(out)
-        return out
-
-    score = F.aggregate(F.transform(words, best), F.lit(0.0), lambda a, b: a + b)
-    hits = checked.filter(good).select("combo", "id", "postedAt", "capturedAt", score.alias("score"))
-    top = first_n(hits, ["combo"], [F.col("score").desc(), *sort_order(None)], k).select("combo", "rn", "id", "score")
-    newest = live.orderBy(*sort_order(None)).limit(k)
-    newest = newest.select("id", "postedAt", F.row_number().over(Window.orderBy(*sort_order(None))).alias("rn"))
+    combos = cut_lineage(keyed.select("combo", *params).dropDuplicates(["combo"]).select(
+        "combo", _query_terms().alias("terms"), F.date_trunc("day", parse_date(F.col("postedFrom"))).alias("floor")))
+    live_docs = active_only(docs)
+    ranked = number_rows(live_docs.select("id", "postedAt", "capturedAt", "tags", *[f for f in dict.fromkeys(
+        [*TEXT_FIELDS, *ENUM_FIELDS, *PLAIN_FIELDS.values()]) if f != "tags"]), sort_order(None), "pos")
+    ranked = stored(ranked)
+    blocks = -(-ranked.count() // BLOCK)
+
+    conditions = combos.select("combo", F.explode("terms").alias("c")).select(
+        "combo", "c.part", "c.kind", "c.term", F.concat_ws(":", "c.kind", "c.term").alias("key"))
+    lists = _asked_lists(conditions.select("kind", "term", "key").distinct(), ranked)
+    known = cut_lineage(lists.groupBy("key").agg(F.sum(F.size("entries")).alias("df"), F.max("top").alias("top")))
+    parts = conditions.select("combo", "part", "key").distinct().join(known, "key", "left")
+    costs = parts.groupBy("combo", "part").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("cost"), F.max("top").alias("top"))
+    plans = costs.groupBy("combo").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.min("cost").alias("least"), F.min_by("part", F.struct("cost", "part")).alias("rarest"), F.sum("top").alias("most"))
+    plans = cut_lineage(plans.filter(F.col("least") > 0).join(combos.select("combo", "floor"), "combo"))
+    parts = cut_lineage(parts.filter(F.col("df") > 0).join(plans.select("combo", "rarest"), "combo").select(
+        "combo", "part", "key", (F.col("part") == F.col("rarest")).alias("rarest")))
+
+    live, top = plans, None
+    start, end = 0, 1
+    while start < blocks:
+        span = (F.col("block") >= start) & (F.col("block") < end)
+        found = _round(live, parts, lists.filter(span))
+        places = ranked.filter((F.col("pos") >= start * BLOCK) & (F.col("pos") < end * BLOCK)).select("pos", "id", "postedAt")
+        found = found.join(places, "pos").join(live.select("combo", "floor"), "combo")
+        found = found.filter(F.col("floor").isNull() | (F.col("postedAt") >= F.col("floor"))).select("combo", "pos", "score", "id")
+        both = found if top is None else top.select("combo", "pos", "score", "id").unionByName(found)
+        top = cut_lineage(first_n(both, ["combo"], [F.col("score").desc(), F.col("pos")], k))
+        start, end = end, end + (end - start) * GROWTH
+        if start >= blocks:
+            break
+        kth = top.filter(F.col("rn") == k).select("combo", F.col("score").alias("kth"))
+        next_posted = ranked.filter(F.col("pos") == start * BLOCK).first().postedAt  # one row
+        newer = F.lit(False) if next_posted is None else F.col("floor") <= F.lit(next_posted)
+        live = cut_lineage(live.join(kth, "combo", "left").filter(
+            (F.col("kth").isNull() | (F.col("kth") < F.col("most"))) & (F.col("floor").isNull() | newer)).drop("kth"))
+        if live.isEmpty():
+            break
+    newest = ranked.filter(F.col("pos") < k).select("id", "postedAt", (F.col("pos") + 1).cast("int").alias("rn"))
     open_ones = combos.filter(F.size("terms") == 0).select("combo", "floor")
     after = F.col("floor").isNull() | (F.col("postedAt") >= F.col("floor"))
-    top = top.unionByName(open_ones.join(F.broadcast(newest), after).select("combo", "rn", "id", F.lit(0.0).alias("score")))  # k rows
-    return spread_join(keyed.select("query_id", "combo"), top, ["combo"]).select("query_id", F.col("rn").alias("rank"), "id", "score")
-
+    hits = open_ones.join(F.broadcast(newest), after).select("combo", "rn", "id", F.lit(0.0).alias("score"))  # k rows
+    if top is not None:
+        hits = hits.unionByName(top.select("combo", "rn", "id", "score"))
+    return spread_join(keyed.select("query_id", "combo"), hits, ["combo"]).select("query_id", F.col("rn").alias("rank"), "id", "score")

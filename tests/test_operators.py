@@ -129,6 +129,45 @@ def test_batch_search_equals_single(spark):
         assert got.get(i, []) == [r.id for r in se.search(docs, page_size=2, **kw).collect()], a
 
 
+def test_batch_search_over_many_blocks(spark, monkeypatch):
+    """Blocks of four documents: searches stop in different rounds, and equal to a plain evaluation of every search on its own."""
+    monkeypatch.setattr(se, "BLOCK", 4)
+    monkeypatch.setattr(se, "GROWTH", 2)
+    rng = random.Random(7)
+    words = ["java", "javascript", "go", "rust", "cook", "clerk"]
+    rows = [(str(i), " ".join(rng.choices(words, k=2)), rng.choice(["Acme", "Go Ltd"]), rng.sample(words, 2), "Remote" if i % 3 else "Hybrid",
+             None if i % 9 == 0 else datetime(2024, 1, 1 + rng.randrange(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id string, title string, company string, tags array<string>, workMode string, postedAt timestamp").withColumns({
+        "capturedAt": F.lit(datetime(2024, 2, 1)), "locationText": F.lit("Rio"), "seniority": F.lit("Unknown"), "employmentType": F.lit("Unknown"),
+        "sourceName": F.lit("src"), "status": F.when(F.col("id") == "11", "Expired").otherwise("Active")})
+    params = ["q", "tags", "workMode", "seniority", "employmentType", "company", "location", "sourceName", "postedFrom"]
+    asked = [{"q": w} for w in ("java", "jav", "rio", "go cook", "rust jav", "rio src r", "clerk clerk")]
+    asked += [{"q": "c", "workMode": "hybrid"}, {"q": "go", "company": "acme", "tags": "rust,cook"}, {"workMode": "remote", "postedFrom": "2024-01-15"},
+              {"tags": "go,java"}, {"q": "java", "postedFrom": "2024-01-12"}, {"location": "rio"}, {"q": "rio", "postedFrom": "2024-01-19"}]
+    queries = spark.createDataFrame([(i, *[a.get(p) for p in params]) for i, a in enumerate(asked)], "query_id int, " + ", ".join(f"{p} string" for p in params))
+    got = {}
+    for r in se.batch_search(queries, docs, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+
+    def alone(a):
+        hits = []
+        for i, title, company, tags, mode, posted in rows:
+            fields = [title.split(), company.lower().split(), tags, ["rio"], [mode.lower()], ["unknown"], ["unknown"], ["src"]]
+            if i == "11" or a.get("workMode", mode).lower() != mode.lower() or a.get("company", company).lower() != company.lower():
+                continue
+            if "tags" in a and not set(a["tags"].split(",")) & set(tags) or "postedFrom" in a and (posted is None or posted < datetime.fromisoformat(a["postedFrom"])):
+                continue
+            asked_words = a.get("q", "").split()
+            best = [max([8 - f for f, terms in enumerate(fields) if any(t.startswith(w) if n == len(asked_words) - 1 else t == w for t in terms)], default=0)
+                    for n, w in enumerate(asked_words)]
+            if all(best):
+                hits.append((-sum(best), posted is None, -posted.timestamp() if posted else 0, i))
+        return {n + 1: (h[3], float(-h[0])) for n, h in enumerate(sorted(hits)[:5])}
+
+    for i, a in enumerate(asked):
+        assert got.get(i, {}) == alone(a), a
+
+
 def test_views(spark):
     st = state_frame(spark, state_row(1, salary_currency="BRL"), state_row(2, salary_min=Decimal(1)))
     detail = {r.id: r for r in views.to_detail(st).collect()}
