@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
@@ -193,16 +194,23 @@ def match_text(docs: DataFrame, q: str | None, typos: bool = False) -> DataFrame
         *docs.columns, "score")
 
 
-def sort_order(sort: str | None) -> list[Column]:
-    """Sort columns of a sort parameter; nulls last; id breaks ties."""
-    posted, captured = F.col("postedAt"), F.col("capturedAt")
+def _sort_fields(sort: str | None) -> list[tuple[str, bool]]:
+    """Sort columns of a sort parameter and whether they ascend; id breaks ties."""
     table = {
-        "postedat:asc": [posted.asc_nulls_last(), captured.desc_nulls_last()],
-        "capturedat:asc": [captured.asc_nulls_last()],
-        "capturedat:desc": [captured.desc_nulls_last()],
+        "postedat:asc": [("postedAt", True), ("capturedAt", False)],
+        "capturedat:asc": [("capturedAt", True)],
+        "capturedat:desc": [("capturedAt", False)],
     }
-    chosen = table.get((sort or "").strip().lower(), [posted.desc_nulls_last(), captured.desc_nulls_last()])
-    return [*chosen, F.col("id").asc()]
+    return [*table.get((sort or "").strip().lower(), [("postedAt", False), ("capturedAt", False)]), ("id", True)]
+
+
+def _ordered(fields: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in fields]
+
+
+def sort_order(sort: str | None) -> list[Column]:
+    """Sort columns of a sort parameter; nulls last; id breaks ties."""
+    return _ordered(_sort_fields(sort))
 
 
 def search(docs: DataFrame, q: str | None = None, sort: str | None = None, page: int = 1, page_size: int = 20,
@@ -215,6 +223,42 @@ def search(docs: DataFrame, q: str | None = None, sort: str | None = None, page:
     return hits.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def _cursor(fields: list[tuple[str, bool]]) -> Column:
+    """Where a hit stands in the order, as text; times are whole microseconds."""
+    return F.to_json(F.struct(*[(F.unix_micros(c) if c.endswith("At") else F.col(c)).alias(c) for c, _ in fields]), {"ignoreNullFields": "false"})
+
+
+def _behind(fields: list[tuple[str, bool]], cursor: str) -> Column:
+    """Rows that come after a cursor: equal in some first fields and behind it in the next one."""
+    at = json.loads(cursor)
+    if list(at) != [c for c, _ in fields]:
+        raise ValueError("the cursor is of another order")
+    behind, level = F.lit(False), F.lit(True)
+    for c, up in fields:
+        value = F.timestamp_micros(F.lit(at[c])) if c.endswith("At") and at[c] is not None else F.lit(at[c])
+        if at[c] is not None:  # nulls are last, so nothing is behind one in its own field
+            behind = behind | level & (F.col(c).isNull() | (F.col(c) > value if up else F.col(c) < value))
+            level = level & (F.col(c) == value)
+        else:
+            level = level & F.col(c).isNull()
+    return F.coalesce(behind, F.lit(False))
+
+
+def search_after(docs: DataFrame, cursor: str | None = None, q: str | None = None, sort: str | None = None, page_size: int = 20,
+                 typos: bool = False, **filters) -> DataFrame:
+    """The page of hits behind ``cursor``, the first one if it is None. Each hit has a ``cursor``; the last one's asks for the next page.
+
+    Same hits in the same order as ``search``, but no page costs more than the first: the cursor is a filter on the sort fields, and a page
+    is the first rows of what is left, where an offset would sort and pass over all pages before.
+    """
+    page_size = 20 if page_size <= 0 or page_size > 100 else page_size
+    hits = match_text(filter_docs(docs, **filters), q, typos)
+    fields = ([("score", False)] if _query_tokens(docs, q) else []) + _sort_fields(sort)
+    if cursor is not None:
+        hits = hits.filter(_behind(fields, cursor))
+    return hits.orderBy(*_ordered(fields)).limit(page_size).withColumn("cursor", _cursor(fields))
+
+
 def count_hits(docs: DataFrame, q: str | None = None, page_size: int = 20, typos: bool = False, **filters) -> DataFrame:
     """Total hits and page count of a search with the same arguments."""
     hits = match_text(filter_docs(docs, **filters), q, typos)

@@ -54,6 +54,23 @@ def search_sort_page(spark, folder):
     return se.search(docs(spark, folder), seniority="senior", page=3, page_size=25).select("id", "title")
 
 
+@query(f"""WITH {_DOCS}, a AS (SELECT 1 AS ask, id, row_number() OVER (ORDER BY posted DESC NULLS LAST, captured DESC, id) AS n FROM docs WHERE status = 'Active' AND seniority = 'Senior'
+UNION ALL SELECT 2, id, row_number() OVER (ORDER BY CASE WHEN title LIKE '% job 1%' THEN 8 WHEN loc LIKE 'Zone 1%' THEN 5 ELSE 1 END DESC, posted ASC NULLS LAST, captured DESC, id)
+  FROM docs WHERE status = 'Active' AND seg = 'machinery' AND (title LIKE '% job 1%' OR loc LIKE 'Zone 1%' OR source LIKE '1-%'))
+SELECT ask, id FROM a WHERE n > 50 AND n <= 75""")
+def search_pages_by_cursor(spark, folder):
+    found = docs(spark, folder)
+
+    def third(**asked):
+        cursor = None
+        for _ in range(2):
+            cursor = se.search_after(found, cursor, page_size=25, **asked).collect()[-1].cursor  # a page
+        return se.search_after(found, cursor, page_size=25, **asked)
+
+    pages = [third(seniority="senior"), third(q="machinery 1", sort="postedAt:asc")]
+    return reduce(lambda a, b: a.unionByName(b), [p.select(F.lit(n + 1).alias("ask"), "id") for n, p in enumerate(pages)])
+
+
 @query(f"""WITH {_DOCS} SELECT id FROM docs WHERE status = 'Active' ORDER BY posted ASC NULLS LAST, captured DESC, id LIMIT 20""")
 def search_oldest_first(spark, folder):
     return se.search(docs(spark, folder), sort="postedAt:ASC", page=0, page_size=500).select("id")

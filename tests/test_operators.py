@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from postingflow.operators import dedupe, favorites as fav, lifecycle as lc, posting, quality, rank, search as se, similar, views
@@ -129,6 +130,22 @@ def test_batch_search_equals_single(spark):
         assert got.get(i, []) == [r.id for r in se.search(docs, page_size=2, **kw).collect()], a
 
 
+def test_pages_by_cursor_equal_offset_pages(spark):
+    rows = [(str(i), "java go" if i % 2 else "java", None if i % 5 == 0 else datetime(2024, 1, 1 + i % 3), None if i % 7 == 0 else datetime(2024, 2, 1 + i % 2, 3, 4, 5, 678901))
+            for i in range(23)]
+    docs = spark.createDataFrame(rows, "id string, title string, postedAt timestamp, capturedAt timestamp").withColumns(
+        {c: F.lit(None).cast("string") for c in ("company", "locationText", "workMode", "seniority", "employmentType", "sourceName", "status")}).withColumn("tags", F.array(F.lit("go")))
+    for sort in (None, "postedAt:asc", "capturedAt:asc", "capturedAt:desc"):
+        for q in (None, "go"):
+            want = [r.id for r in se.search(docs, q=q, sort=sort, page_size=100).collect()]
+            got, cursor = [], None
+            while page := se.search_after(docs, cursor, q=q, sort=sort, page_size=9).collect():
+                got, cursor = got + [r.id for r in page], page[-1].cursor
+            assert got == want and len(got) == 23
+    with pytest.raises(ValueError):
+        se.search_after(docs, cursor, sort="postedAt:asc")
+
+
 def test_batch_search_over_many_blocks(spark, monkeypatch):
     """Blocks of four documents: searches stop in different rounds, and equal to a plain evaluation of every search on its own."""
     monkeypatch.setattr(se, "BLOCK", 4)
