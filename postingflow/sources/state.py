@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postingflow.schema import STATE_SCHEMA
 
@@ -83,9 +83,23 @@ def write_index(docs: DataFrame, path: str, query_id: str = "batch", batch_id: i
     return _write(docs, path, "base" if full else "delta", query_id, batch_id, ["status"])
 
 
-def append_run(runs: DataFrame, path: str) -> None:
-    """Append run rows to the run log."""
-    runs.write.mode("append").parquet(path)
+def append_run(runs: DataFrame, path: str, query_id: str = "batch", batch_id: int = 0) -> None:
+    """Put the rows of one batch of one query into a log.
+
+    They are a partition of their own, which a repeated batch replaces: a failure between this write and the batch's commit, and the replay
+    after it, leave every row once. The other batches are not touched. A batch without rows adds no partition.
+    """
+    rows = runs.withColumns({"log_query": F.lit(query_id), "log_batch": F.lit(batch_id).cast("long")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_query", "log_batch").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A log's rows with log_query and log_batch; an empty table if no batch has had any."""
+    whole = StructType([*schema.fields, StructField("log_query", StringType()), StructField("log_batch", LongType())])
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], whole)
 
 
 def upsert_sources(runs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def start_crawl(spark: SparkSession, pages_path: str, registry: DataFrame, table
             return
         state = read_state(session, f"{table}/state")
         result = run_crawl(pages, registry, state, _run_at(run_at), run_id=f"{query_id}:{batch_id}", **options)
-        append_run(result.runs.withColumn("batch_id", F.lit(batch_id)), f"{table}/runs")
+        append_run(result.runs, f"{table}/runs", query_id, batch_id)
         _store(result.postings, table, query_id, batch_id)
 
     return _start(stream_pages(spark, pages_path), handle, checkpoint, once)
@@ -64,8 +64,8 @@ def start_bulk(spark: SparkSession, requests_path: str, table: str, checkpoint:
             return
         state = read_state(session, f"{table}/state")
         result = run_bulk(requests, state, _run_at(run_at), run_id=f"{query_id}:{batch_id}", **options)
-        append_run(result.summary.withColumn("stream_batch", F.lit(batch_id)), f"{table}/summaries")
-        append_run(result.errors.withColumn("stream_batch", F.lit(batch_id)), f"{table}/errors")
+        append_run(result.summary, f"{table}/summaries", query_id, batch_id)
+        append_run(result.errors, f"{table}/errors", query_id, batch_id)
         _store(result.postings, table, query_id, batch_id)
 
     return _start(stream, handle, checkpoint, once)

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from postingflow.plans.bulk import run_bulk
@@ -105,6 +106,25 @@ def test_bulk_stream(spark, tmp_path):
     assert spark.read.parquet(f"{table}/summaries").first().inserted == 2
 
 
+def test_bulk_stream_that_fails_before_its_commit(spark, tmp_path, monkeypatch):
+    """The logs of the failed attempt are replaced by those of the replay."""
+    src, table = tmp_path / "in", str(tmp_path / "table")
+    src.mkdir()
+    (src / "a.json").write_text(json.dumps(request(item(1), item(2, title=" "))))
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_store", fails)
+        with pytest.raises(Exception, match="lost"):
+            ingest.start_bulk(spark, str(src), table, str(tmp_path / "ck"), run_at=datetime(2024, 6, 1)).awaitTermination()
+    assert spark.read.parquet(f"{table}/summaries").count() == 1 and read_state(spark, f"{table}/state").count() == 0
+    ingest.start_bulk(spark, str(src), table, str(tmp_path / "ck"), run_at=datetime(2024, 6, 1)).awaitTermination()
+    assert read_state(spark, f"{table}/state").count() == 1
+    assert spark.read.parquet(f"{table}/summaries").count() == 1 and spark.read.parquet(f"{table}/errors").count() == 1
+
+
 def requests(spark, n, key=lambda i: "k"):
     rows = [(i, "register" if i % 2 else "login", key(i), datetime(2024, 1, 1, 0, i // 60, i % 60)) for i in range(n)]
     return spark.createDataFrame(rows, "request_id long, policy string, key string, ts timestamp")

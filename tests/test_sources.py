@@ -76,6 +76,19 @@ def test_registry(spark):
     assert {r.source_name for r in scans.skip_js_sources(usable).collect()} == {"Acme", "Totvs Ok"}
 
 
+def test_a_repeated_batch_leaves_each_log_row_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = spark.createDataFrame([], "source string, n int").schema
+    assert st.read_log(spark, path, schema).count() == 0
+    st.append_run(spark.createDataFrame([("a", 1), ("b", 2)], schema), path, "q/1", 0)
+    st.append_run(spark.createDataFrame([("a", 3)], schema), path, "q/1", 1)  # torn before its commit
+    st.append_run(spark.createDataFrame([("a", 3), ("c", 4)], schema), path, "q/1", 1)
+    st.append_run(spark.createDataFrame([("a", 5)], schema), path, "other", 1)
+    st.append_run(spark.createDataFrame([], schema), path, "other", 2)
+    want = [("q/1", 0, "a", 1), ("q/1", 0, "b", 2), ("q/1", 1, "a", 3), ("q/1", 1, "c", 4), ("other", 1, "a", 5)]
+    assert sorted((r.log_query, r.log_batch, r.source, r.n) for r in st.read_log(spark, path, schema).collect()) == sorted(want)
+
+
 def test_versioned_state(spark, tmp_path):
     path = str(tmp_path / "t")
     assert st.read_state(spark, path).count() == 0
