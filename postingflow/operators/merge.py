@@ -93,13 +93,17 @@ def _last(c: str) -> Column:
     return F.max_by(c, "seq").alias(c)
 
 
-def _text_winners(lengths: DataFrame) -> DataFrame:
+def _text_winners(lengths: DataFrame, span: int) -> DataFrame:
     """Records whose text was taken, per posting: each longer than the one before it by the margin.
 
-    Only a strictly longer text than all before it can be taken, so one row per distinct length is enough.
+    Only a text strictly longer than all before it can be taken. A scan of running maxima, by chunks, leaves these; in records
+    of random order they are about the logarithm of their number, and never more than there are lengths. The margin is
+    applied to what is left.
     """
     firsts = lengths.groupBy("ent", "len").agg(F.min("seq").alias("seq"))
-    ordered = firsts.groupBy("ent").agg(F.array_sort(F.collect_list(F.struct("seq", "len"))).alias("steps"))
+    scanned = prefix_scan(firsts, ["ent"], "seq", {"_longest": ("max", F.col("len"))}, span=span)
+    rising = scanned.filter(F.col("_longest").isNull() | (F.col("len") > F.col("_longest")))
+    ordered = rising.groupBy("ent").agg(F.array_sort(F.collect_list(F.struct("seq", "len"))).alias("steps"))
     start = F.array().cast("array<struct<seq:bigint,len:int>>")
 
     def step(taken: Column, row: Column) -> Column:
@@ -160,7 +164,7 @@ def merge_records(records: DataFrame, state: DataFrame, policy: str) -> tuple[Da
     seen = prefix_scan(narrow, ["ent"], "seq", specs, span=span)
 
     texts = rows.filter(~is_blank(F.col("description_text"))).select("ent", "seq", F.length("description_text").alias("len"))
-    winners = cut_lineage(_text_winners(texts))
+    winners = cut_lineage(_text_winners(texts, span))
     firsts = cut_lineage(_tag_firsts(rows))
 
     def had(c: str) -> Column:
@@ -204,7 +208,7 @@ def merge_records(records: DataFrame, state: DataFrame, policy: str) -> tuple[Da
     from postingflow.operators.scan import spread_join
     named = spread_join(outcomes, born.withColumnRenamed("seq", "_root"), ["_root"], "left", rows=span + 1)
     outcomes = named.select(
-        "seq", F.coalesce("_born", F.substring("ent", 3, 1 << 20)).alias("id"),
+        "seq", F.coalesce("_born", F.expr("substring(ent, 3)")).alias("id"),
         F.coalesce("outcome", F.lit("Conflict")).alias("outcome"),
         F.coalesce("content_changed", F.lit(False)).alias("content_changed"))
     return postings, outcomes

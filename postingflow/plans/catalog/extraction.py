@@ -257,12 +257,12 @@ def blocked_pages(spark, folder):
     return scans.blocked_counts(found)
 
 
-@query(f"""SELECT doc_id AS page_id, CASE WHEN length({s_trim('left(text, 3 + doc_id % 5)')}) < 6 THEN 'short title' WHEN doc_id % 6 = 0 THEN 'unknown company'
+@query(f"""SELECT doc_id AS page_id, CASE WHEN length({s_trim('CASE WHEN doc_id % 5 = 0 THEN lang ELSE text END')}) < 6 THEN 'short title' WHEN doc_id % 6 = 0 THEN 'unknown company'
   WHEN doc_id % 7 = 0 THEN 'blank location' END AS reject_reason FROM documents""")
 def gate_reasons(spark, folder):
     key = F.col("doc_id")
     raw = table(spark, folder, "documents").select(
-        key.alias("page_id"), F.substring(F.col("text"), F.lit(1), (key % 5 + 3).cast("int")).alias("title"),
+        key.alias("page_id"), F.when(key % 5 == 0, F.col("lang")).otherwise(F.col("text")).alias("title"),
         F.when(key % 6 == 0, " UNKNOWN").otherwise(F.col("source")).alias("company"), F.when(key % 7 == 0, " ").otherwise(F.col("lang")).alias("location_text"))
     ok, bad = quality_gate(raw)
     return ok.select("page_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(bad.select("page_id", "reject_reason"))

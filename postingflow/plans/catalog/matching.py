@@ -10,7 +10,7 @@ from postingflow.functions.identity import fingerprint
 from postingflow.operators import dedupe, lifecycle as lc, merge, posting, similar
 from postingflow.operators.scan import number_rows
 from postingflow.plans.bulk import run_bulk
-from postingflow.plans.catalog.common import WS, pick, registrar, s_norm, s_pick, s_print, table
+from postingflow.plans.catalog.common import WS, pick, registrar, s_norm, s_pick, s_print, s_trim, table
 from postingflow.plans.catalog.extraction import HOST, documents_as_jsonld, registry
 from postingflow.plans.crawl import run_crawl
 from postingflow.schema import STATE_COLUMNS, STATE_SCHEMA
@@ -45,7 +45,7 @@ def sightings(spark, folder):
     return as_state(
         df, id=F.concat(F.lit("p"), key.cast("string")), title=title, source_name=F.col("source"), source_type=F.lit("Gupy"),
         source_url=F.concat(F.lit(f"{HOST}/"), key.cast("string")), location_text=F.lit("x"),
-        description_text=F.substring(F.col("text"), F.lit(1), ((key * 37) % 211).cast("int")),
+        description_text=F.coalesce("text", F.lit("")),
         tags=F.array(F.concat(F.lit("t"), ((key * 7) % 9).cast("string"))),
         work_mode=F.when((key * 3) % 16 == 5, "Remote").otherwise("Unknown"),
         posted_at=F.when(key % 4 != 1, day((key * 13) % 90)), captured_at=day(), last_seen_at=day(),
@@ -53,20 +53,27 @@ def sightings(spark, folder):
 
 
 def split(df, n: int = 7):
-    """(stored, incoming): the first stored posting per role among every n-th document, and all the others."""
-    old = df.filter(F.col("seq") % n == 0)
-    stored = old.groupBy("fingerprint").agg(F.min_by(F.struct("*"), "seq").alias("_r")).select("_r.*").drop("seq")
-    stored = stored.withColumn("captured_at", F.col("captured_at") - F.make_interval(days=F.lit(30)))
-    return stored.select(*STATE_COLUMNS), df.filter(F.col("seq") % n != 0)
+    """(stored, incoming): of each role the first document whose number ``n`` divides is stored; all other documents come in."""
+    firsts = df.filter(F.col("seq") % n == 0).groupBy("fingerprint").agg(F.min("seq").alias("seq")).select("seq")
+    stored = df.join(firsts, "seq", "left_semi").withColumn("captured_at", F.col("captured_at") - F.make_interval(days=F.lit(30)))
+    return stored.select(*STATE_COLUMNS), df.join(firsts, "seq", "left_anti")
 
 
-_SIGHT = f"""sight AS (SELECT doc_id AS k, doc_id % 50 AS role, source, '{HOST}/' || doc_id AS url, left(text, (doc_id * 37) % 211) AS descr,
+def _taken(source: str, group: str, seq: str, text: str) -> str:
+    """The records of a group whose text is taken, each longer than the one taken before it by more than 40: group, t.seq, t.len."""
+    return f"""(SELECT {group}, unnest(list_reduce(list_prepend([{{'seq': CAST(-2 AS BIGINT), 'len': CAST(-41 AS BIGINT)}}],
+    list([{{'seq': CAST({seq} AS BIGINT), 'len': CAST(length({text}) AS BIGINT)}}] ORDER BY {seq}) FILTER ({s_trim(text)} <> '')),
+    lambda a, b: CASE WHEN b[1].len > a[-1].len + 40 THEN list_concat(a, b) ELSE a END)) AS t FROM {source} GROUP BY {group})"""
+
+
+_SIGHT = f"""sight AS (SELECT doc_id AS k, doc_id % 50 AS role, source, '{HOST}/' || doc_id AS url, coalesce(text, '') AS descr,
   't' || ((doc_id * 7) % 9) AS tag, CASE WHEN (doc_id * 3) % 16 = 5 THEN 'Remote' ELSE 'Unknown' END AS mode,
   CASE WHEN doc_id % 4 <> 1 THEN TIMESTAMP '{DAY}' + to_days(CAST((doc_id * 13) % 90 AS INTEGER)) END AS posted,
   {s_print("'c'", "'Rôle ' || (doc_id % 50)", "'x'", "''")} AS fp FROM documents),
-rows AS (SELECT *, CASE WHEN k % 7 = 0 THEN -1 ELSE k END AS seq FROM sight
-  WHERE k % 7 <> 0 OR k IN (SELECT min(k) FROM sight WHERE k % 7 = 0 GROUP BY fp))"""
-_BETTER = "list_reduce(list_prepend('', list(descr ORDER BY seq)), lambda a, b: CASE WHEN trim(b) <> '' AND (trim(a) = '' OR length(b) > length(a) + 40) THEN b ELSE a END)"
+rows AS (SELECT *, CASE WHEN k IN (SELECT min(k) FROM sight WHERE k % 7 = 0 GROUP BY fp) THEN -1 ELSE k END AS seq FROM sight),
+c AS {_taken("rows", "fp", "seq", "descr")},
+best AS (SELECT fp, descr FROM (SELECT fp, max(t.seq) AS seq FROM c GROUP BY fp) JOIN rows USING (fp, seq))"""
+_BETTER = "coalesce((SELECT descr FROM best b WHERE b.fp = r.fp), '')"
 _TAGS = "(SELECT string_agg(tag, ',' ORDER BY s) FROM (SELECT fp, tag, min(seq) AS s FROM rows GROUP BY fp, tag) t WHERE t.fp = r.fp)"
 
 
@@ -111,9 +118,7 @@ def merge_crawl(spark, folder):
 
 @query(f"""WITH {_SIGHT}, o AS (SELECT *, min(seq) OVER (PARTITION BY fp) AS first_seq, min(posted) OVER w AS earlier, max(k % 5) OVER w AS filled,
     CASE WHEN lag(seq) OVER (PARTITION BY fp ORDER BY seq) < 0 THEN 1 ELSE 0 END AS after_stored, row_number() OVER (PARTITION BY fp, tag ORDER BY seq) AS tag_seen
-  FROM rows WINDOW w AS (PARTITION BY fp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT fp, unnest(list_reduce(list_prepend([{{'seq': CAST(-2 AS BIGINT), 'len': CAST(-41 AS BIGINT)}}], list([{{'seq': seq, 'len': CAST(length(descr) AS BIGINT)}}] ORDER BY seq) FILTER (trim(descr) <> '')),
-  lambda a, b: CASE WHEN b[1].len > a[-1].len + 40 THEN list_concat(a, b) ELSE a END)) AS t FROM rows GROUP BY fp)
+  FROM rows WINDOW w AS (PARTITION BY fp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT o.k AS seq, CASE WHEN o.seq = first_seq THEN 'Inserted' WHEN after_stored = 1 OR tag_seen = 1 OR c.t IS NOT NULL OR (posted IS NOT NULL AND (earlier IS NULL OR posted < earlier))
   OR k % 5 > filled THEN 'Updated' ELSE 'Duplicate' END AS outcome FROM o LEFT JOIN c ON c.fp = o.fp AND c.t.seq = o.seq WHERE o.seq >= 0""")
 def crawl_outcomes(spark, folder):
@@ -147,7 +152,7 @@ def arrival_order_outcomes(spark, folder):
 
 
 _KEYS = f"""m AS (SELECT doc_id AS k, 'src' || doc_id % 3 AS name, CASE WHEN doc_id % 4 = 1 THEN 'o' || doc_id // 8 END AS o, CASE WHEN doc_id % 3 = 0 THEN 'j' || doc_id // 12 END AS j,
-  'u' || doc_id // 2 AS u, {s_print("'c'", "left(text, 30)", "''", "''")} AS fp FROM documents)"""
+  'u' || doc_id // 2 AS u, {s_print("'c'", "text", "''", "''")} AS fp FROM documents)"""
 
 
 def _keyed(spark, folder):
@@ -157,7 +162,7 @@ def _keyed(spark, folder):
     keyed = as_state(
         df, id=F.lpad(key.cast("string"), 9, "0"), source_name=F.concat(F.lit("src"), (key % 3).cast("string")), source_type=F.lit("Gupy"),
         origin_url=F.when(key % 4 == 1, F.concat(F.lit("o"), whole(8))), source_job_id=F.when(key % 3 == 0, F.concat(F.lit("j"), whole(12))),
-        source_url=F.concat(F.lit("u"), whole(2)), fingerprint=fingerprint(F.lit("c"), F.left("text", F.lit(30)), F.lit(""), F.lit("")))
+        source_url=F.concat(F.lit("u"), whole(2)), fingerprint=fingerprint(F.lit("c"), F.col("text"), F.lit(""), F.lit("")))
     return keyed.filter("seq % 2 = 1"), keyed.filter("seq % 2 = 0").drop("seq")
 
 
@@ -203,14 +208,14 @@ def field_rules(spark, folder):
 
 
 def bulk_requests(spark, folder):
-    """Documents as bulk requests of up to 100 items; every fifth title is blank."""
+    """Documents as bulk requests of up to 100 items with whole texts; every fifth title is blank."""
     key = F.col("doc_id")
     item = F.struct(
         F.lit(None).cast("string").alias("sourceJobId"), F.concat(F.lit(f"{HOST}/"), key.cast("string")).alias("sourceUrl"),
         F.lit(None).cast("string").alias("originUrl"), F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit("Role "), (key % 40).cast("string"))).alias("title"),
         F.struct(F.lit("c").alias("name"), F.lit(None).cast("string").alias("website"), F.lit(None).cast("string").alias("industry")).alias("company"),
         *[F.lit(None).cast("string").alias(n) for n in ("locationText", "workMode", "seniority", "employmentType")],
-        F.lit("d").alias("descriptionText"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("array<string>").alias("languages"),
+        F.col("text").alias("descriptionText"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("array<string>").alias("languages"),
         F.lit(None).cast("timestamp").alias("postedAt"), F.lit(None).cast("map<string,string>").alias("metadata"),
         F.lit(None).cast("string").alias("sourceName"), F.lit(None).cast("string").alias("sourceType"))
     docs = table(spark, folder, "documents").withColumn("batch", F.floor(key / 100))
@@ -221,14 +226,16 @@ def bulk_requests(spark, folder):
         F.lit("ExternalIngestion").alias("source_type"), F.col("rows.item").alias("items"))
 
 
-_FEED = """i AS (SELECT doc_id, 'b' || lpad(CAST(doc_id // 100 AS VARCHAR), 6, '0') AS batch_id, doc_id % 5 = 0 AS bad, row_number() OVER (PARTITION BY doc_id % 40, doc_id % 5 = 0 ORDER BY doc_id) AS rn FROM documents)"""
+_FEED = """i AS (SELECT doc_id, doc_id % 40 AS role, coalesce(text, '') AS text, 'b' || lpad(CAST(doc_id // 100 AS VARCHAR), 6, '0') AS batch_id, doc_id % 5 = 0 AS bad,
+  row_number() OVER (PARTITION BY doc_id % 40, doc_id % 5 = 0 ORDER BY doc_id) AS rn FROM documents)"""
 
 
-@query(f"""WITH {_FEED} SELECT batch_id, count(*) AS received, count(*) FILTER (NOT bad) AS processed, count(*) FILTER (NOT bad AND rn = 1) AS inserted,
-  0 AS updated, count(*) FILTER (NOT bad AND rn > 1) AS duplicates, count(*) FILTER (bad) AS invalid FROM i GROUP BY batch_id""")
+@query(f"""WITH {_FEED}, c AS {_taken("(SELECT * FROM i WHERE NOT bad)", "role", "doc_id", "text")},
+j AS (SELECT i.*, i.doc_id IN (SELECT t.seq FROM c) AS longer FROM i)
+SELECT batch_id, count(*) AS received, count(*) FILTER (NOT bad) AS processed, count(*) FILTER (NOT bad AND rn = 1) AS inserted,
+  count(*) FILTER (NOT bad AND rn > 1 AND longer) AS updated, count(*) FILTER (NOT bad AND rn > 1 AND NOT longer) AS duplicates, count(*) FILTER (bad) AS invalid FROM j GROUP BY batch_id""")
 def bulk_summary(spark, folder):
-    summary = run_bulk(bulk_requests(spark, folder), spark.createDataFrame([], STATE_SCHEMA), day()).summary
-    return summary.withColumn("updated", F.col("updated").cast("int"))
+    return run_bulk(bulk_requests(spark, folder), spark.createDataFrame([], STATE_SCHEMA), day()).summary
 
 
 @query(f"""WITH {_FEED} SELECT batch_id, CAST(doc_id % 100 AS INTEGER) AS item_index, 'title is required' AS message FROM i WHERE bad""")
