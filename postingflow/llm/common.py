@@ -6,8 +6,13 @@ import contextlib
 import gc
 import math
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +43,31 @@ def release_finished(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def annotated(docs: DataFrame, added: StructType, compute: Callable, needed: dict[str, Column] | None = None) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and the columns ``added``, computed by Arrow batches.
+
+    ``compute(get, n)`` returns the arrays of a batch of n rows; ``get(name)`` is a column of ``needed``, else of ``docs``. As rows are
+    packed, no column of ``docs`` clashes with another, whatever its name.
+    """
+    def run(batches):
+        for b in batches:
+            def get(name):
+                held = b.column(1) if name in wanted else b.column(0)
+                return pc.struct_field(held, name)
+            yield pa.RecordBatch.from_arrays([b.column(0), *compute(get, b.num_rows)], ["row", *added.names])
+
+    wanted = set(needed or ())
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    extra = F.struct(*[c.alias(n) for n, c in (needed or {"none": F.lit(None).cast("int")}).items()])
+    return docs.select(whole.alias("row"), extra.alias("needed")).mapInArrow(run, StructType([StructField("row", docs.schema, False), *added.fields]))
+
+
+def without(docs: DataFrame, names) -> DataFrame:
+    """``docs`` less the columns of these names; case doesn't count."""
+    gone = {n.lower() for n in names}
+    return docs.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() not in gone])
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

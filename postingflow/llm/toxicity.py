@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from postingflow.llm.common import KEY_BITS, fold, shuffle_key, table
+from postingflow.llm.common import KEY_BITS, annotated, fold, shuffle_key, table, without
 from postingflow.llm.features import LOWER, SPACE, Texts, byte_grams, chunks, text_of, word_hashes, word_limits
 from postingflow.llm.linear import nn_pu, sigmoid
 from postingflow.session import cut_lineage
@@ -160,22 +160,28 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Mod
     return Model(buckets, np.mean([nn_pu(x[positive], x[unlabelled], prior, seed=s) for s in SEEDS], axis=0))
 
 
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all columns of ``docs``) and _toxicity."""
+    def compute(get, n):
+        slot, out = model.slots(), np.zeros(n)
+        for first, t in chunks(get("text")):
+            out[first:first + len(t)] = model.scores(t, slot)
+        return [pa.array(out)]
+
+    return annotated(docs, StructType([StructField("_toxicity", DoubleType())]), compute)
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with toxicity (0 to 1). A null or empty text scores what no evidence scores. Whole texts are read."""
-    def run(batches):
-        slot = model.slots()
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            for first, t in chunks(b.column("text")):
-                out[first:first + len(t)] = model.scores(t, slot)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "_toxicity"])
+    """All columns of ``docs`` with _toxicity (0 to 1); a column of that name is replaced.
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))
+    A null or empty text scores what no evidence scores. Whole texts are read; equal texts score alike, an empty table gives none.
+    """
+    return _scored(without(docs, ["_toxicity"]), model).select("row.*", "_toxicity")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, with their columns."""
-    return score_documents(docs, train(docs, labels)).where("_toxicity < 0.5").select(*docs.columns)
+    """The documents that score below 0.5, with all their columns as they are, whatever their names; 0.5 itself is rejected."""
+    return _scored(docs, train(docs, labels)).where("_toxicity < 0.5").select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from postingflow.llm.common import table
+from postingflow.llm.common import annotated, table, without
 from postingflow.llm.features import Texts, byte_grams, chunks
 from postingflow.llm.linear import logistic, sigmoid
 
@@ -103,8 +103,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
     url get the same verdict. ``labelled`` has url and blocked (boolean). Columns of ``pages`` named like a result are replaced.
     """
     added = ("host", "path", "rule", "verdict", "block_score")
-    own = pages.select(*[c for c in pages.columns if c not in added])
-    rows = own.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = without(pages, added).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     if labelled is None:
         seen = rows.select("host", "path", (verdict == "block").alias("blocked")).where("blocked IS NOT NULL")
@@ -112,14 +111,14 @@ def judge(pages: DataFrame, rules: tuple = RULES, labelled: DataFrame | None = N
         seen = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked")
     model = train(seen)
 
-    def run(batches):
-        for b in batches:
-            out = np.zeros(b.num_rows)
-            for first, t in chunks(b.column("_place")):
-                out[first:first + len(t)] = model.scores(t)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], [*b.schema.names[:-1], "block_score"])
+    def compute(get, n):
+        out = np.zeros(n)
+        for first, t in chunks(get("place")):
+            out[first:first + len(t)] = model.scores(t)
+        return [pa.array(out)]
 
-    scored = rows.withColumn("_place", F.concat("host", "path")).mapInArrow(run, StructType([*rows.schema.fields, StructField("block_score", DoubleType())]))
+    score = StructType([StructField("block_score", DoubleType())])
+    scored = annotated(rows, score, compute, {"place": F.concat("host", "path")}).select("row.*", "block_score")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return scored.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))})
 

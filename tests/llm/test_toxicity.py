@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postingflow.llm import toxicity
 from postingflow.llm.linear import nn_pu, sigmoid
 from tests.llm.helpers import empty_frame, odd_frame
 
 
-@pytest.mark.xfail(reason="open: on these draws every row scores below 0.5, though held-out documents do well")
+@pytest.mark.xfail(reason="open: the estimator finds 0.66 to 0.76 of the class on such draws, the best rule 0.82")
 def test_estimator_finds_the_class_behind_unlabelled_rows():
     rng = np.random.default_rng(1)
 
@@ -72,6 +73,9 @@ def test_odd_rows(spark):
     assert len(rows) == 12 and all(0 <= r._toxicity <= 1 for r in rows)
     assert len({r._toxicity for r in rows if not (r.text or "").strip()}) == 1
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    own = docs.withColumns({n: F.lit("own") for n in ("_toxicity", "row", "needed", "none")})
+    kept = toxicity.keep_clean(own, labels.limit(0))
+    assert kept.columns == own.columns and [(r["_toxicity"], r["row"]) for r in kept.collect()] == [("own", "own")] * 12
     none = toxicity.train(docs, labels.limit(0))
     assert all(r._toxicity < 0.5 for r in toxicity.score_documents(docs, none).collect())
     assert toxicity.keep_clean(empty_frame(spark), labels).collect() == []

@@ -31,6 +31,12 @@ def test_rules(spark):
     assert urls.judge(df.limit(0)).collect() == []
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, u, "own", "own", "own", "own") for i, u in ROWS], "page_id long, url string, _place string, place string, row string, Verdict string")
+    rows = urls.judge(df).collect()
+    assert {(r["_place"], r["place"], r["row"]) for r in rows} == {("own",) * 3} and {r["verdict"] for r in rows} <= {"allow", "block"}
+
+
 def test_model_learns_a_labelled_table(spark):
     good = [f"https://news{i % 7}.site.org/story/{i}" for i in range(120)]
     bad = [f"https://casino-{i % 7}.bet.org/win/{i}" for i in range(120)]
