@@ -8,16 +8,18 @@ virtual slots whatever the input, so both are handled on the driver and the map
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postingflow.llm.common import table
-from postingflow.session import cut_lineage
+from postingflow.session import cut_lineage, shared_folder
 
 SLOTS = 4096
 OVERHEAD = 8
+SLACK = 0.0005
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
@@ -39,13 +41,22 @@ class SlotMap:
         return out
 
 
-def measured_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 8), text_crc32 (a null text counts as empty) and virtual_slot of every row."""
+def measured_rows(docs: DataFrame, block: int = 4096) -> DataFrame:
+    """doc_id, size (UTF-8 bytes plus 8), text_crc32 (a null text counts as empty) and virtual_slot of every row.
+
+    The slot is a hash of id, checksum, size and, of rows alike in all three, the number of the copy: rows without an id or with one
+    that repeats are spread like others. Copies are counted before they are numbered, and a large group is numbered in blocks, each in
+    a task of its own.
+    """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    alike = ["doc_id", "size", "text_crc32"]
     rows = docs.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    # Rows without an id are spread by their text.
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
-    return rows.withColumn("virtual_slot", F.pmod(key, F.lit(SLOTS)).cast("int"))
+    counted = rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.select(*alike, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(block).cast("long"))).alias("_from"))
+    spread = blocks.repartition(*alike, "_from")
+    each = spread.select(*alike, F.explode(F.sequence("_from", F.least(F.col("_from") + block, "_n") - 1)).alias("_copy"))
+    key = F.xxhash64(*alike, F.col("_copy"))
+    return each.select(*alike, F.pmod(key, F.lit(SLOTS)).cast("int").alias("virtual_slot"))
 
 
 def slot_sums(rows: DataFrame) -> tuple[list[int], list[int]]:
@@ -104,8 +115,8 @@ def map_frame(spark: SparkSession, m: SlotMap) -> DataFrame:
 
 
 def store_map(spark: SparkSession, m: SlotMap, path: str) -> None:
-    """Add one version to the stored map; writing a version again replaces it."""
-    map_frame(spark, m).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={m.version}")
+    """Add one version to the stored map. A version that is there already raises, so of two editors of one version the second has to load again."""
+    map_frame(spark, m).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={m.version}")
 
 
 def load_map(spark: SparkSession, path: str, shards: int, version: int) -> SlotMap:
@@ -135,14 +146,18 @@ def place(rows: DataFrame, m: SlotMap) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 24, store: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its shard under the ``bytes`` law: shards have nearly equal bytes.
 
-    Null texts have no bytes; rows without an id are hashed by their text; repeated rows get places of their own; an empty table
+    Null texts have no bytes; rows without an id and repeated rows are spread like others and get places of their own; an empty table
     gives an empty result. Only doc_id and text are read, so further columns don't matter. A row larger than a shard's share makes
-    its shard larger. With ``store`` the map is written there as version 1.
+    its shard larger. Version 1 of the map, from the bytes per slot, is written to ``store`` (a new folder under the shared one unless
+    given), read again and rebalanced; rows are placed by the edited version 2.
     """
+    spark = docs.sparkSession
+    store = store or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = cut_lineage(measured_rows(docs))
-    m = first_map(*slot_sums(rows), shards)
-    if store:
-        store_map(docs.sparkSession, m, store)
+    sums = slot_sums(rows)
+    store_map(spark, first_map(*sums, shards), store)
+    store_map(spark, rebalance(load_map(spark, store, shards, 1), *sums, slack=SLACK), store)
+    m = load_map(spark, store, shards, 2)
     return place(rows, m).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot", F.lit(m.version).alias("map_version"))

@@ -2,6 +2,8 @@
 
 import zlib
 
+import pytest
+
 from postingflow.llm import sharding
 from tests.llm.helpers import empty_frame, odd_documents, odd_frame
 
@@ -29,6 +31,32 @@ def test_sizes_near_equal_and_reruns_agree(spark):
     assert sorted(map(key, rows)) == sorted(map(key, _all(sharding.shard_documents(docs.repartition(7)))))
 
 
+def test_rows_alike_are_spread(spark):
+    """A third of the rows without an id and with one text, a third with one id, the rest ordinary: shards still have like sizes."""
+    docs = spark.range(12000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7L ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 0 THEN 'the same text everywhere' ELSE repeat('y', CAST(id % 89 AS INT)) END AS text")
+    rows = _all(sharding.shard_documents(docs))
+    assert len(rows) == 12000 and {r["map_version"] for r in rows} == {2}
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(24)]
+    assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 24
+    for shard in range(24):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    few = sharding.measured_rows(docs, block=100).groupBy("virtual_slot").count().collect()
+    assert sorted(few) == sorted(sharding.measured_rows(docs).groupBy("virtual_slot").count().collect())
+
+
+def test_rows_lie_where_the_stored_map_sends_them(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('z', CAST(id % 61 AS INT)) AS text")
+    rows = _all(sharding.shard_documents(docs, 5, str(tmp_path)))
+    first, edited = (sharding.load_map(spark, str(tmp_path), 5, v) for v in (1, 2))
+    assert edited == sharding.rebalance(first, list(first.slot_bytes), list(first.slot_rows), slack=sharding.SLACK)
+    assert all(edited.shard_of[r["virtual_slot"]] == r["shard"] for r in rows)
+    assert [sum(r["size"] for r in rows if r["shard"] == s) for s in range(5)] == edited.loads()
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.store_map(spark, edited, str(tmp_path))
+
+
 def test_map_versions(spark, tmp_path):
     sizes = [(i * 37) % 101 + 1 for i in range(500)]
     first = sharding.first_map(sizes, [1] * 500, 8)
