@@ -80,9 +80,12 @@ def _eight(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", padded.data, strides=(1,))
 
 
-def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes (up to 8) from each position on."""
+def byte_grams(data: np.ndarray, n: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the n bytes (up to 8) from each position on; with the texts' ``starts``, of fewer at the end of a text, so that none reads on into the next."""
     h = _eight(data) & np.uint64((1 << 8 * n) - 1) if n < 8 else _eight(data).copy()
+    for left in range(1, n if starts is not None else 1):
+        last = starts[1:] - left
+        h[last[last >= starts[:-1]]] &= np.uint64((1 << 8 * left) - 1)
     return mix(h + np.uint64(n * 0x9E3779B9))
 
 

@@ -1,7 +1,9 @@
 """Language identification in two steps: the family first, then one-versus-one support vector machines within it.
 
 Features are the shares of hashed byte 1- to 4-grams of the lower-cased text. Models are trained on a bounded sample, about
-PER_LANGUAGE documents of each language; every document is then scored whole, at one table lookup per gram.
+PER_LANGUAGE documents of each language, however many languages there are. Each model is fitted in a task of its own: one per pair of
+languages of a family, one per family against about FAMILY_ROWS rows of the others. The driver gets weights only. Every document is
+then scored whole, at one table lookup per gram.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from postingflow.llm.common import KEY_BITS, fold, shuffle_key, table
+from postingflow.llm.common import KEY_BITS, annotated, fold, shuffle_key, table, without
 from postingflow.llm.features import LOWER, Texts, byte_grams, chunks
 from postingflow.llm.linear import linear_svm, sigmoid
+from postingflow.operators.scan import option_join
+from postingflow.session import cut_lineage
 
 PER_LANGUAGE = 400
-LANGUAGES = 64
+FAMILY_ROWS = 4096
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 SCALE = 60.0
@@ -46,7 +50,7 @@ def family(lang: str) -> str:
 def _grams(t: Texts) -> list[np.ndarray]:
     """Bucket of the gram from each position on, for each order."""
     data = LOWER[t.data]
-    return [(byte_grams(data, n) >> np.uint64(64 - 13)).astype(np.int64) for n in ORDERS]
+    return [(byte_grams(data, n, t.starts) >> np.uint64(64 - 13)).astype(np.int64) for n in ORDERS]
 
 
 def share_matrix(t: Texts) -> np.ndarray:
@@ -95,7 +99,8 @@ class Model:
             p = sigmoid(2 * m[:, nf + k])
             votes[:, a] += (p >= 0.5) + 1e-3 * p
             votes[:, b] += (p < 0.5) + 1e-3 * (1 - p)
-        member = np.array([[family(x) == f for x in self.languages] for f in self.families])
+        of = [family(x) for x in self.languages]
+        member = np.array([[x == f for x in of] for f in self.families])
         votes = np.where(member[chosen], votes, -1.0)
         best = votes.argmax(axis=1)
         for k, (a, b) in enumerate(self.pairs):
@@ -104,24 +109,32 @@ class Model:
         return best, np.clip(sure, 0.0, 1.0)
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """lang and text of about ``per_language`` documents of each of the ``languages`` most frequent languages, outside the held-out fold.
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang and text of about ``per_language`` documents of every language, outside the held-out fold.
 
     Documents are picked by a hash of their id against a share that follows from the language's count. A repeated id counts once.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = None
-    for r in counts:
-        limit = min(1 << KEY_BITS, int(min(1.0, per_language / r["count"]) * (1 << KEY_BITS)))
-        share = (F.when if share is None else share.when)(F.col("lang") == r["lang"], F.lit(limit))
-    if share is None:
-        return usable.select("lang", "text").limit(0)
-    return usable.where(shuffle_key(F.col("doc_id")) < share).dropDuplicates(["doc_id"]).select("lang", "text")
-
-
-def train(docs: DataFrame) -> Model | None:
-    """Fit the two steps; None if no document has a language."""
+    usable = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    whole = float(1 << KEY_BITS)
+    shares = usable.groupBy("lang").agg(F.least(F.lit(whole), F.lit(per_language * whole) / F.count(F.lit(1))).cast("long").alias("_share"))
+    picked = option_join(usable, shares, ["lang"]).where(shuffle_key(F.col("doc_id")) < F.col("_share"))
+    return picked.dropDuplicates(["doc_id"]).select("lang", "text")
+
+
+def _fit(key, rows):
+    """Weights of one model from its rows (lang, sign, x), whatever order they arrive in."""
+    langs, features, signs = (rows.column(c).to_pylist() for c in ("lang", "x", "sign"))
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], features[i]))
+    x = np.frombuffer(b"".join(features[i] for i in order), np.float32).reshape(len(order), BUCKETS)
+    weights = linear_svm(x, np.array([signs[i] for i in order])).astype(np.float32)
+    return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int = FAMILY_ROWS) -> Model | None:
+    """Fit the two steps; None if no document has a language.
+
+    A family's model sees all sampled rows of the family and, of the others, about ``family_rows`` picked by a hash of their features.
+    """
     def run(batches):
         for b in batches:
             for first, t in chunks(b.column("text"), TRAIN_CHUNK, TRAIN_ROWS):
@@ -129,42 +142,54 @@ def train(docs: DataFrame) -> Model | None:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("lang").slice(first, len(t)), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = training_sample(docs).mapInArrow(run, "lang string, x binary").toArrow()  # bounded sample
-    if not rows.num_rows:
+    sample = cut_lineage(training_sample(docs, per_language).mapInArrow(run, "lang string, x binary"))
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
         return None
-    langs = np.array(rows.column("lang").to_pylist())
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(langs), BUCKETS)
-    order = np.lexsort((x[:, 1], x[:, 0], langs))
-    x, langs = x[order], langs[order]
-    languages = tuple(sorted(set(langs)))
-    families = tuple(sorted({family(x) for x in languages}))
-    of = np.array([family(x) for x in langs])
-    columns = [linear_svm(x, np.where(of == f, 1, -1)) for f in families] if len(families) > 1 else [np.zeros(BUCKETS + 1)]
-    pairs = tuple((i, j) for i, a in enumerate(languages) for j, b in enumerate(languages) if i < j and family(a) == family(b))
-    for i, j in pairs:
-        mine = np.isin(langs, [languages[i], languages[j]])
-        columns.append(linear_svm(x[mine], np.where(langs[mine] == languages[i], 1, -1)))
-    return Model(languages, families, pairs, np.stack(columns, axis=1).astype(np.float32))
+    languages = tuple(sorted(counts))
+    of = {x: family(x) for x in languages}
+    families = tuple(sorted(set(of.values())))
+    pairs = tuple((i, j) for i, a in enumerate(languages) for j, b in enumerate(languages) if i < j and of[a] == of[b])
+    nf, total = len(families), sum(counts.values())
+    weights = np.zeros((nf + len(pairs), BUCKETS + 1), np.float32)
+    uses = []  # (lang, model, sign, share of the rows)
+    for k, f in enumerate(families if nf > 1 else ()):
+        others = total - sum(n for x, n in counts.items() if of[x] == f)
+        share = min(1.0, family_rows / others)
+        uses += [(x, k, 1, 1.0) if of[x] == f else (x, k, -1, share) for x in languages]
+    for k, pair in enumerate(pairs):
+        uses += [(languages[i], nf + k, sign, 1.0) for i, sign in zip(pair, (1, -1))]
+    if uses:
+        models = docs.sparkSession.createDataFrame(uses, "lang string, model int, sign int, share double").groupBy("lang").agg(
+            F.collect_list(F.struct("model", "sign", "share")).alias("uses"))
+        rows = option_join(sample, models, ["lang"]).select("lang", "x", F.explode("uses").alias("use")).select("lang", "x", "use.*")
+        chance = F.pmod(F.xxhash64("x", "model"), F.lit(1 << 30)) / float(1 << 30)
+        fitted = rows.where((F.col("share") >= 1) | (chance < F.col("share"))).groupBy("model").applyInArrow(_fit, "model int, weights binary")
+        for r in fitted.toArrow().to_pylist():
+            weights[r["model"]] = np.frombuffer(r["weights"], np.float32)
+    return Model(languages, families, pairs, weights.T)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and lang_score. A text that is null or has no letter is ``und`` with score 0."""
-    def run(batches):
-        for b in batches:
-            lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-            lettered = np.asarray(b.column("_lettered").fill_null(False))
-            for first, t in chunks(b.column("text")):
-                if model is None:
-                    break
-                best, sure = model.predict(t)
-                at = slice(first, first + len(t))
-                lang[at] = np.where(lettered[at], np.array(model.languages, object)[best], "und")
-                score[at] = np.where(lettered[at], sure, 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names[:-1], "lang_pred", "lang_score"])
-
-    # The flag must be last.
-    rows = docs.withColumn("_lettered", F.col("text").rlike(r"\p{L}"))
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    """All columns of ``docs`` with lang_pred and lang_score; columns of these names are replaced.
+
+    A text that is null or has no letter is ``und`` with score 0, as are all texts without a model. Equal texts get the same answer; equal votes
+    go to the larger margins, then to the language first by name. An empty table gives an empty result.
+    """
+    def compute(get, n):
+        lang, score = np.full(n, "und", object), np.zeros(n)
+        lettered = np.asarray(get("lettered").fill_null(False))
+        for first, t in chunks(get("text")):
+            if model is None:
+                break
+            best, sure = model.predict(t)
+            at = slice(first, first + len(t))
+            lang[at] = np.where(lettered[at], np.array(model.languages, object)[best], "und")
+            score[at] = np.where(lettered[at], sure, 0.0)
+        return [pa.array(lang, pa.string()), pa.array(score)]
+
+    added = StructType([StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return annotated(without(docs, added.names), added, compute, {"lettered": F.col("text").rlike(r"\p{L}")}).select("row.*", *added.names)
 
 
 def op1_language(spark: SparkSession, folder: str) -> DataFrame:
