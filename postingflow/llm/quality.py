@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from postingflow.llm.common import annotated, shuffle_key, table, without
+from postingflow.llm.common import annotated, table, without
 from postingflow.llm.features import Texts, chunks, mix, text_of, word_hashes, word_limits
-from postingflow.session import cut_lineage
+from postingflow.operators.scan import number_rows
+from postingflow.session import cut_lineage, stored
 
-TRUSTED = 10_000
 BITS = 16
 PASSING = 0.995
 SMOOTHING = 0.5
@@ -124,21 +124,30 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """text of the documents labelled as good, at most ``limit`` of them picked by a hash of the id; only their ids are broadcast."""
-    picked = (labels.where("quality = 1").select("doc_id").distinct().withColumn("_key", shuffle_key(F.col("doc_id")))
-              .orderBy("_key", "doc_id").limit(limit).select("doc_id"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
+def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text of every document labelled as good; rows with one id count once."""
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("text")
+
+
+def _at_ranks(means: DataFrame, *shares) -> list[float]:
+    """The numbers of column m whose place by size, from 0, ``shares`` give for a count of them; sorted over the cluster, only those are sent back."""
+    spread = means.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))  # copies have one mean
+    ranked = cut_lineage(number_rows(spread, ["m", "tie"], "place"))
+    count = ranked.count()
+    wanted = [share(count) for share in shares]
+    held = {r.place: r.m for r in ranked.where(F.col("place").isin(wanted)).collect()}
+    return [held[k] for k in wanted]
 
 
 def train(docs: DataFrame, labels: DataFrame, passing: float = PASSING) -> Model:
     """Count both models and set the threshold. Without trusted documents every ratio is 0 and everything passes."""
-    trusted = cut_lineage(trusted_documents(docs, labels))
+    trusted = stored(trusted_documents(docs, labels))
     raw, good = corpus_counts(docs), corpus_counts(trusted)
     if not good.sum():
         return Model(np.zeros(2 << BITS), 0.0)
     half = 1 << BITS
-    # A bucket the trusted sample is too small to show says little: both models are smoothed by the raw share.
+    # A bucket the trusted documents are too few to show says little: both models are smoothed by the raw share.
     share = [np.maximum(raw[k:k + half], 0) + SMOOTHING for k in (0, half)]
     share = np.concatenate([s / s.sum() for s in share])
     total = np.concatenate([np.full(half, good[:half].sum()), np.full(half, good[half:].sum())])
@@ -151,10 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, passing: float = PASSING) -> Model
             for _, t in chunks(b.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(model.means(t, *word_limits(t)))], ["m"])
 
-    means = np.sort(np.asarray(trusted.mapInArrow(run, "m double").toArrow().column("m")))  # at most TRUSTED numbers
-    low = means[int((1 - passing) * len(means))]
+    low, below, above = _at_ranks(trusted.mapInArrow(run, "m double"), lambda n: int((1 - passing) * n), lambda n: (n - 1) // 2, lambda n: n // 2)
     # Documents that weren't counted as trusted score lower than those that were, so the limit lies as far below again.
-    return Model(ratio, float(low - (np.median(means) - low)))
+    return Model(ratio, low - ((below + above) / 2 - low))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

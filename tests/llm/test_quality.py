@@ -70,3 +70,13 @@ def test_labelled_documents(spark):
     if not good or not bad:
         pytest.skip("no labels")
     assert sum(good) > 0.98 * len(good) and sum(bad) < 0.1 * len(bad)
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted_documents(docs, labels.unionAll(labels)).count() == 12_000
+    model = quality.train(docs, labels)
+    means = sorted(r.quality_ratio for r in quality.judge(docs, model).select("quality_ratio").collect())
+    low, median = means[int((1 - quality.PASSING) * len(means))], (means[5999] + means[6000]) / 2
+    assert model.threshold == pytest.approx(low - (median - low), abs=1e-8)
