@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postingflow.llm.common import running_total, shuffle_key, slice_bits, table
+from postingflow.llm.common import running_total, shuffle_key, slice_bits, table, trimmed
 from postingflow.llm.features import Texts, chunks
 from postingflow.session import cut_lineage
 
@@ -27,6 +27,7 @@ CAPACITY = 2048
 END_ID = 0
 REMEMBERED = 600_000
 LINE = 200
+CHUNK_BYTES = 1 << 20  # a chunk's arrays take some sixty times its bytes
 _WORD = re.compile(r" ?\S+")
 # Kinds of bytes that a text may be cut between; 0: never.
 KIND = np.zeros(256, np.uint8)
@@ -176,7 +177,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def run(batches):
         tokens = _shared_tokens(path)
         for b in batches:
-            for first, t in chunks(b.column("text"), 4 << 20):
+            for first, t in chunks(b.column("text"), CHUNK_BYTES):
                 ids, begin = tokens.ids(t)
                 rows: dict[str, list] = {"at": [], "piece": [], "start": [], "length": [], "crc": [], "ids": []}
                 for i in range(len(t)):
@@ -195,7 +196,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays(out, names)
 
     schema = PIECE_SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 @dataclass
