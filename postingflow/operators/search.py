@@ -13,7 +13,7 @@ from postingflow.functions.infer import parse_enum
 from postingflow.functions.text import normalize_text, null_if_blank, parse_date, parse_tag_csv
 from postingflow.operators.scan import first_n, number_rows, spread_join
 from postingflow.schema import ENUMS
-from postingflow.session import cut_lineage, stored
+from postingflow.session import broadcasts_measured, cut_lineage, stored
 
 TEXT_FIELDS = ["title", "company", "tags", "locationText", "workMode", "seniority", "employmentType", "sourceName"]
 ENUM_FIELDS = {"workMode": "WorkMode", "seniority": "Seniority", "employmentType": "EmploymentType"}
@@ -382,6 +382,12 @@ def batch_search(queries: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     Searches without a condition that a term can meet, also those with only a date, share the first `k` documents in sort order:
     the newest come first, so the ones after a date are the first of all.
     """
+    with broadcasts_measured(docs.sparkSession):
+        return stored(_batch_hits(queries, docs, k))
+
+
+def _batch_hits(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The hits of ``batch_search``, whose last join has still to run."""
     params = ["q", "tags", "workMode", "seniority", "employmentType", "company", "location", "sourceName", "postedFrom"]
     keyed = queries.withColumn("combo", F.sha2(F.to_json(F.struct(*params)), 256))
     combos = cut_lineage(keyed.select("combo", *params).dropDuplicates(["combo"]).select(

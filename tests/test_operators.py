@@ -146,6 +146,28 @@ def test_pages_by_cursor_equal_offset_pages(spark):
         se.search_after(docs, cursor, sort="postedAt:asc")
 
 
+def test_batch_search_broadcasts_no_table_for_its_small_file(spark):
+    """Titles that compress to nothing: the driver must not be given rows because their file is small."""
+    docs = spark.range(4000).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.repeat(F.lit("y"), 20_000), F.lit(" java")).alias("title"), F.array(F.lit("go")).alias("tags"),
+        F.lit(datetime(2024, 1, 1)).alias("postedAt"), F.lit(datetime(2024, 2, 1)).alias("capturedAt"), F.lit("Active").alias("status"),
+        *[F.lit(None).cast("string").alias(c) for c in ("company", "locationText", "workMode", "seniority", "employmentType", "sourceName")])
+    params = ["q", "tags", "workMode", "seniority", "employmentType", "company", "location", "sourceName", "postedFrom"]
+    queries = spark.createDataFrame([(1, "java y"), (2, "java")], "query_id int, q string").withColumns({p: F.lit(None).cast("string") for p in params[1:]})
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "70m"}  # one page is 64 MB; beyond the second a join fails
+    before = {c: spark.conf.get(c) for c in limits}
+    try:
+        for c, v in limits.items():
+            spark.conf.set(c, v)
+        got = [(r.query_id, r["rank"], r.id) for r in se.batch_search(queries, docs, 2).collect()]
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "256k"
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(got) == [(1, 1, "0"), (1, 2, "1"), (2, 1, "0"), (2, 2, "1")]
+
+
 def test_batch_search_over_many_blocks(spark, monkeypatch):
     """Blocks of four documents: searches stop in different rounds, and equal to a plain evaluation of every search on its own."""
     monkeypatch.setattr(se, "BLOCK", 4)
