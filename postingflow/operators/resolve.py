@@ -1,7 +1,9 @@
 """Which stored or new posting each incoming record belongs to, as if records arrived one by one.
 
 A record sees the effects of all records before it: keys written by one decide where the next one
-goes. Two stages, both ordinary joins, aggregates and windows:
+goes. Records that are connected over keys, however far, form a component, and components don't affect
+each other. One of up to CHUNK rows is sorted into one task, which takes its records in their order.
+Larger ones are resolved together in two stages of ordinary joins, aggregates and windows:
 
 1. Records are grouped by shared keys. A group that shares no key with any other, has at most one
    stored row and is uniform (one fingerprint or one URL; for crawls one source id or one URL) can only
@@ -17,6 +19,9 @@ still split over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postingflow.functions.text import null_if_blank
@@ -178,6 +183,80 @@ def _round(current: DataFrame, stored: DataFrame, policy: str, span: int, rows:
         ((ent != F.col("ent")) | (F.col("_ok") != F.col("ok"))).alias("moved"))
 
 
+def _connected(records: DataFrame, policy: str, rows: int) -> DataFrame:
+    """Add `component`: equal for records that are connected over keys, however far.
+
+    Records of one fingerprint (crawls: one URL) are one node from the start. Every round each node joins the least node it shares a key
+    with, and a node's keys go to the one it joined. Nodes and keys are hashes, so that chains are cut at random places and few rounds
+    are needed. Equal hashes of unequal keys can only put two components together.
+    """
+    lead, others = ("f", {k: F.col(k) for k in "ouj"}) if policy == "bulk" else ("u", {"t": _triple()})
+    hashed = {k: F.when(c.isNotNull(), F.xxhash64(F.lit(k), c)) for k, c in {lead: F.col(lead), **others}.items()}
+    noded = records.withColumn("node", F.coalesce(hashed[lead], F.xxhash64(F.lit("ent"), "ent")))
+    edges = noded.select("node", F.explode(F.array_compact(F.array(*[hashed[k] for k in others]))).alias("key")).distinct()
+    rounds = []
+    while True:
+        heads = edges.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        shared = cut_lineage(edges.join(heads.drop("_n"), "key"))
+        joined = cut_lineage(shared.groupBy("node").agg(F.min("head").alias("to")).filter(F.col("to") < F.col("node")))
+        if joined.isEmpty():
+            break
+        rounds.append(joined)
+        edges = shared.join(joined, "node", "left").select(F.coalesce("to", "node").alias("node"), "key").distinct()
+    if not rounds:
+        return noded.withColumnRenamed("node", "component")
+    ends = rounds.pop().withColumnRenamed("to", "component")
+    for joined in reversed(rounds):
+        later = ends.withColumnRenamed("node", "to")
+        ends = joined.join(later, "to", "left").select("node", F.coalesce("component", "to").alias("component")).unionByName(
+            ends.join(joined, "node", "left_anti"))
+    found = spread_join(noded, ends, ["node"], "left", rows=rows)
+    return found.select(*records.columns, F.coalesce("component", "node").alias("component"))
+
+
+def _in_order(batches: Iterator[pd.DataFrame], bulk: bool) -> Iterator[pd.DataFrame]:
+    """seq, ent and ok of each incoming record; rows come by component, stored ones first, then by seq.
+
+    Held are the keys of one component: who holds each now, and what each posting holds.
+    """
+    component, by, postings = None, {}, {}
+    for batch in batches:
+        out = []
+        columns = [batch[c].tolist() for c in ("component", "seq", "ent", *KEYS)]
+        for comp, seq, ent, o, src, j, u, f in zip(*columns):
+            if comp != component:
+                component, postings = comp, {}
+                by = {kind: {} for kind in "otuf"}
+            asked = src + j if src is not None and j is not None else None
+            new = seq < 0
+            if not new:
+                tests = ((o, "o"), (asked, "t"), (u, "u"), (f, "f"))
+                match = next((by[kind][key] for key, kind in tests if key is not None and key in by[kind]), None)
+                new = match is None
+                ent = ent if new else match
+            if new:
+                held = postings[ent] = [o, asked, u, j]
+                if f is not None:
+                    by["f"].setdefault(f, ent)
+            else:
+                held = postings[ent]
+                job = j if not bulk or held[3] is None else held[3]
+                own = src + job if src is not None and job is not None else None
+                if by["u"].get(u, ent) != ent or by["t"].get(own, ent) != ent:
+                    out.append((seq, ent, False))
+                    continue
+                for kind, old, now in (("t", held[1], own), ("u", held[2], u)):
+                    if old != now and by[kind].get(old) == ent:
+                        del by[kind][old]
+                held[:] = [o if held[0] is None else held[0], own, u, job]
+            for kind, key in zip("otu", held):
+                if key is not None:
+                    by[kind].setdefault(key, ent)
+            if seq >= 0:
+                out.append((seq, ent, True))
+        yield pd.DataFrame(out, columns=["seq", "ent", "ok"])
+
+
 def resolve_entities(incoming: DataFrame, state: DataFrame, policy: str) -> DataFrame:
     """Assign incoming records to postings in `seq` order.
 
@@ -189,11 +268,36 @@ def resolve_entities(incoming: DataFrame, state: DataFrame, policy: str) -> Data
         "ent": F.concat(F.lit("n:"), F.col("seq")), "cap": F.lit(None).cast("timestamp")}), policy)
     kept = _narrow(state.withColumns({
         "seq": F.lit(-1).cast("long"), "ent": F.concat(F.lit("s:"), F.col("id")), "cap": F.col("captured_at")}), policy)
-    records = cut_lineage(items.unionByName(_touched(items, kept, policy)))
-    size = records.agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("span")).first()
-    grouped = _group(records, policy, size.rows)
+    records = cut_lineage(items if state.isEmpty() else items.unionByName(_touched(items, kept, policy)))
+    given = F.when(F.coalesce("seq", F.lit(0)) >= 0, F.col("seq"))
+    size = records.agg(
+        F.count(F.lit(1)).alias("rows"), F.max("seq").alias("span"), F.count(F.when(F.col("seq") < 0, 1)).alias("stored"),
+        F.count_distinct(given).alias("given")).first()
+    if size.given + size.stored < size.rows:  # without an order of their own records can't be taken one by one
+        return _by_rounds(records, policy, size.rows, size.span)
+    connected = _connected(records, policy, size.rows)
+    large = None
+    if size.rows > scan.CHUNK:
+        connected = cut_lineage(connected)
+        large = cut_lineage(connected.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(
+            F.col("_n") > scan.CHUNK).select("component"))  # at most rows/CHUNK
+        large = None if large.isEmpty() else F.broadcast(large)
+    small = connected if large is None else connected.join(large, "component", "left_anti")
+    ordered = small.repartition("component").sortWithinPartitions("component", "seq", "cap", "ent")
+    bulk = policy == "bulk"
+    settled = ordered.select("component", "seq", "ent", *KEYS).mapInPandas(
+        lambda batches: _in_order(batches, bulk), "seq long, ent string, ok boolean")
+    if large is None:
+        return settled
+    rest = cut_lineage(connected.join(large, "component", "left_semi").select(*records.columns))
+    return settled.unionByName(_by_rounds(rest, policy, rest.count(), size.span))
+
+
+def _by_rounds(records: DataFrame, policy: str, rows: int, span: int) -> DataFrame:
+    """seq, ent and ok of the incoming ones of `records`, by groups and rounds; for groups of any size."""
+    grouped = _group(records, policy, rows)
     simple = _simple(grouped, policy).withColumn("_simple", F.lit(True))
-    flagged = cut_lineage(spread_join(grouped, simple, ["label"], "left", rows=size.rows))
+    flagged = cut_lineage(spread_join(grouped, simple, ["label"], "left", rows=rows))
     easy = flagged.filter(F.col("_simple") & (F.col("seq") >= 0)).select(
         "seq", F.col("label.ent").alias("ent"), F.lit(True).alias("ok"))
     hard = flagged.filter(F.col("_simple").isNull())
@@ -204,12 +308,12 @@ def resolve_entities(incoming: DataFrame, state: DataFrame, policy: str) -> Data
         "seq", F.col("label.ent").alias("ent"), "cap", *KEYS, F.lit(True).alias("ok"))
     settled, rounds, members = easy, 0, None
     while True:
-        current = cut_lineage(_round(current, hard_state, policy, size.span, size.rows))
+        current = cut_lineage(_round(current, hard_state, policy, span, rows))
         moved = current.filter("moved")
         if moved.isEmpty():
             return settled.unionByName(current.select("seq", "ent", "ok"))
         rounds += 1
-        if rounds >= PRUNE_AFTER and size.rows > PRUNE_ABOVE:
+        if rounds >= PRUNE_AFTER and rows > PRUNE_ABOVE:
             # Groups in which nothing moved are done; only the others go round again.
             members = _closed_groups(hard, policy) if members is None else members
             open_groups = members.join(moved.select("seq"), "seq", "left_semi").select("closed").distinct()

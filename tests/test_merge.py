@@ -130,6 +130,24 @@ def test_long_chain_settles(spark):
     assert {r.seq: (r.id, r.outcome, r.content_changed) for r in out} == expected
 
 
+@pytest.mark.parametrize("policy", ["bulk", "crawl"])
+def test_small_components_need_no_rounds(spark, policy, monkeypatch):
+    """Components of up to a chunk of records are resolved in one pass over their sorted records."""
+    monkeypatch.setattr(resolve, "_by_rounds", None, raising=False)
+    monkeypatch.setattr(resolve, "_round", None)
+    check(spark, 7, policy, n_cases=60)
+
+
+def test_components_reach_along_chains(spark):
+    """Records are one component when keys lead from each to the next, and stay apart otherwise; a null key leads nowhere."""
+    rows = [(i, f"n:{i}", f"u{i // 2}", f"j{(i + 1) // 2}" if i != 20 else None) for i in range(40)]
+    rows = [(seq, ent, *[None if k is None else k.encode() for k in (u, j)]) for seq, ent, u, j in rows]
+    df = spark.createDataFrame(rows, "seq long, ent string, u binary, j binary").selectExpr("*", "cast('s' as binary) AS src")
+    found = {r.seq: r.component for r in resolve._connected(df, "crawl", 40).collect()}
+    assert len({found[i] for i in range(20)}) == 1 and len({found[i] for i in range(20, 40)}) == 1
+    assert found[0] != found[39]
+
+
 def test_better_text(one):
     schema = "a string,b string"
     assert one(merge.better_text, schema, "x" * 10, "y" * 51) is True
