@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from postingflow.functions.text import is_blank, let, normalize_text, trim_space
+from postingflow.functions.text import fold_letters, is_blank, let, normalize_text, trim_space
 from postingflow.schema import ENUMS, SALARY_TYPE
 
 
@@ -68,7 +68,7 @@ PORTUGUESE_LETTERS = "ãõçáéíóú"
 
 def infer_work_mode(*cols: Column) -> Column:
     """Work mode from the joined hint, location and description."""
-    return _first_label(normalize_text(_joined(*cols)), WORK_MODE_WORDS)
+    return _first_label(fold_letters(_joined(*cols)), WORK_MODE_WORDS)
 
 
 def infer_work_mode_location(location: Column) -> Column:
@@ -79,7 +79,7 @@ def infer_work_mode_location(location: Column) -> Column:
 
 def infer_employment(kind: Column, description: Column, mode: str = "compat") -> Column:
     """Employment type; 'compat' matches inside words, 'token' needs whole words and knows PJ."""
-    text = normalize_text(_joined(kind, description))
+    text = fold_letters(_joined(kind, description))
     if mode == "compat":
         return _first_label(text, EMPLOYMENT_WORDS)
     rules = [

@@ -56,12 +56,27 @@ def collapse_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
+def fold_letters(c: Column) -> Column:
+    """Fold case and accents only; null gives ''. A word of letters, also as a whole word, is found here when it is in `normalize_text`."""
+    return F.translate(F.lower(trim_space(F.coalesce(c, F.lit("")))), _ACCENTED, _BASE)
+
+
+# What `normalize_text` makes one blank.
+_GAP = rf"[^\p{{L}}\p{{Nd}}{_KEEP_SPACE}]+"
+
+
 def normalize_text(c: Column) -> Column:
     """Fold case, accents and punctuation; blank or null gives ''. Tabs and line breaks inside survive."""
-    t = F.lower(trim_space(F.coalesce(c, F.lit(""))))
-    t = F.translate(t, _ACCENTED, _BASE)
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{Nd}}{_KEEP_SPACE}]+", " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(fold_letters(c), _GAP, " "))
+
+
+def folded_contains(letters: Column, phrase: str) -> Column:
+    """Whether `normalize_text` holds a phrase of letters and single blanks, from `fold_letters`: punctuation is looked at only where words are."""
+    words = phrase.split(" ")
+    found = letters.contains(words[0])
+    for word in words[1:]:
+        found = found & letters.contains(word)
+    return found if len(words) == 1 else found & letters.rlike(_GAP.join(words))
 
 
 def let(value: Column, body) -> Column:

@@ -99,7 +99,8 @@ def run_crawl(
         more, refused = quality_gate(samples.select(*[f.name for f in RAW_SCHEMA.fields], "file_name", "raw_json"))
         accepted, rejected = accepted.unionByName(more), rejected.unionByName(refused)
     nested = with_run_ts(to_posting(accepted, usable, tag_mode), run_at)
-    flat = to_entity(nested, F.lit(""), ["page_id", "ord"]).withColumn("tags", normalize_tags(F.col("tags")))
+    # Numbering reads its input twice, for the ranges and for the rows; what is inferred from whole texts is stored before.
+    flat = cut_lineage(to_entity(nested, F.lit(""), ["page_id", "ord"]).withColumn("tags", normalize_tags(F.col("tags"))))
     keyed, set_aside = unkeyed(flat)
     order = ["source_type", "source_name", "page_id", "ord", "source_url", "fingerprint"]
     numbered = number_rows(keyed, order)

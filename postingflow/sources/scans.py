@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from postingflow.functions.text import is_blank, let, normalize_text, parse_date
+from postingflow.functions.text import fold_letters, folded_contains, is_blank, let, parse_date
 from postingflow.schema import BULK_REQUEST_SCHEMA, RAW_SCHEMA
 
 PAGES_SCHEMA = T.StructType([
@@ -48,12 +48,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spread a frame that has fewer partitions than there are cores; others pass unshuffled.
+    """Spread a stored frame whose rows are in fewer partitions than there are cores; others pass unshuffled.
 
-    Text work is heavy per row, and a few large row groups would leave most cores idle.
+    Text work is heavy per row, and a few large row groups would leave most cores idle. A file is cut by its bytes, but a row group is
+    read by one task: parts in which none begins are empty, so that those with rows are counted; no column is read for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wide = df.rdd.getNumPartitions() >= cores and df.select(F.spark_partition_id().alias("_p")).distinct().count() >= cores
+    return df if wide else df.repartition(cores)
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -64,14 +66,15 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 64) -> D
 def page_verdict(pages: DataFrame) -> DataFrame:
     """Add `verdict`: ok, blocked (refused or challenged) or failed (no payload)."""
     status = F.coalesce("status", F.lit(200))
-    challenged = let(normalize_text(F.col("html")), lambda body: F.greatest(*[body.contains(w) for w in CHALLENGE_WORDS]))
+    challenged = let(fold_letters(F.col("html")), lambda body: F.greatest(*[folded_contains(body, w) for w in CHALLENGE_WORDS]))
     workday = F.lower(F.coalesce("source_name", F.lit(""))).contains("workday")
     refused = status.isin(403, 429) | (workday & (status == 401))
-    return pages.withColumn(
-        "verdict",
+    verdict = (
         F.when(refused | (~workday & challenged), "blocked")
-        .when(~status.between(200, 299) | is_blank(F.col("html")), "failed").otherwise("ok"),
+        .when(~status.between(200, 299) | is_blank(F.col("html")), "failed").otherwise("ok")
     )
+    # A filter on it would else be moved below the shuffle that spreads the pages, and fold whole pages where they are read.
+    return pages.withColumn("verdict", F.when(F.spark_partition_id() >= 0, verdict))
 
 
 def drop_blocked(pages: DataFrame) -> DataFrame:

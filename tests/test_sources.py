@@ -3,6 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from postingflow.functions import text
 from postingflow.operators.scan import number_rows
 from postingflow.schema import REGISTRY_SCHEMA, STATE_COLUMNS, STATE_SCHEMA
 from postingflow.sources import scans, state as st
@@ -113,3 +114,32 @@ def test_number_rows_is_dense_and_ordered(spark):
     df = spark.range(0, 1000, numPartitions=7).select((F.col("id") * 37 % 1000).alias("k"))
     got = number_rows(df, ["k"]).collect()
     assert all(r.k == r.seq for r in got) and len(got) == 1000
+
+
+def test_widen_spreads_a_single_row_group(spark, tmp_path):
+    """A file that is cut into many parts but has one row group is read by one task; the verdict is found after its rows are spread."""
+    path = str(tmp_path / "pages")
+    rows = [(i, "u", f"<p>{'x' * 50}{i}</p>", "s", None, 200) for i in range(2000)]
+    spark.createDataFrame(rows, scans.PAGES_SCHEMA).coalesce(1).write.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "1k")
+    try:
+        ok = scans.drop_blocked(scans.read_pages(spark, path))
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert ok.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+        plan = ok._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("translate") < plan.index("Repartition")  # children come after their parents
+        assert ok.count() == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_folded_contains_is_contains_of_the_folded_text(spark):
+    texts = ["Verify, you—are  human!", "verify you\tare human", "verify youare human", "CLÓUDFLARE", "cloud-flare", "x verify--you aré HUMÁN.",
+             "verify you are", "", None, "  captcha", "turñstile", "human are you verify"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in scans.CHALLENGE_WORDS:
+        found = df.select(text.folded_contains(text.fold_letters(F.col("t")), word).alias("a"), text.normalize_text(F.col("t")).contains(word).alias("b"))
+        assert all(r.a == r.b for r in found.collect())
