@@ -1,126 +1,215 @@
 """Clusters of postings with similar word sets: an exact set-similarity join.
 
-Words are ordered rarest first. Two sets of n and m words whose Jaccard similarity reaches the threshold t share at least t * max(n, m) words,
-so each has a shared one among its first n - ceil(t * n) + 1: its prefix. Sets meet under the words of their prefixes. Of the pairs that meet,
-those of unlike size go first, then those whose 256-bit word maps differ in more bits than similar sets can differ in words; only
-the rest fetch each other's words.
-
-A word under which very many sets meet is not paired out. Its sets are compared with one of them, and if that doesn't link them all, they
-meet again under that word and a later one, for which prefixes are one word longer; words that all their sets are linked under are done with.
+Words are ordered rarest first. Two sets of n <= m words whose Jaccard similarity reaches the threshold t share at least
+a = ceil(t / (1 + t) * (n + m)) words, and the i-th of them (from 0) is at place n - a + i at most in the one and m - a + i in the other.
+So similar sets meet under a word among the first few of both, and under 1 + e words when e more places are looked at. A pair is formed under
+the words that both have among these places; it is left if sizes or 64-bit maps (the parity of the words of each bit) differ too much or fewer words
+than 1 + e were met. Only what is left fetches words.
+
+Words of many sets are met by size too: a set is filed under its own class of sizes and looked for from there and from larger ones.
+Where very many sets still meet, they are not paired out. They are compared with one of them, and if that doesn't link them all, they
+meet again under that word and a later one, for which there is one place more; words that all their sets are linked under are done with.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postingflow.functions.text import normalize_text
-from postingflow.operators.scan import spread_join
+from postingflow.operators.scan import SMALL_ROWS, spread_join
 from postingflow.session import cut_lineage, stored
 
-BUCKETS = 1 << 16   # words share a frequency by hash: a table of fixed size
-MAP_LONGS = 4
-PAIRED = 64         # most sets under one word that are paired out
+BUCKETS = 1 << 20   # words share a frequency by hash: a table of fixed size, one byte each
+PAIRED = 128        # most sets under one word that are paired out
 DEEPER = 2          # how many more words hot ones are split by
+SPARE = 4           # most places more, and words to be met besides the first
+SPARE_WORDS = 32    # one for so many words of a set
 
 
 def word_set(text: Column) -> Column:
-    """Distinct folded words."""
-    return F.array_distinct(F.filter(F.split(normalize_text(text), r"\s+"), lambda t: t != ""))
+    """Distinct folded words, sorted."""
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(normalize_text(text), r"\s+"), "")))
+
+
+def _words(joined: str = "words") -> Column:
+    return F.split(joined, " ")
 
 
 def _frequencies(sets: DataFrame) -> Column:
-    """How many sets hold words of each hash bucket, as an array literal of BUCKETS numbers."""
+    """How many sets hold words of each hash bucket, as a binary literal of BUCKETS bytes: four times the logarithm to base 2."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
-    counted = sets.select(F.explode("words").alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
-    held = ["0"] * BUCKETS
-    for r in counted:
-        held[r.b] = str(r.n)
-    return F.split(F.lit(",".join(held)), ",").cast("array<long>")
+    counted = sets.select(F.explode(_words()).alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).select(
+        "b", _frequency_class(F.col("n")).alias("c")).toArrow()  # BUCKETS rows at most
+    held = np.zeros(BUCKETS, np.uint8)
+    held[counted["b"].to_numpy()] = counted["c"].to_numpy()
+    return F.lit(held.tobytes())
+
+
+def _frequency_class(n: Column) -> Column:
+    return F.least(F.lit(127), F.ceil(F.log2(n.cast("double")) * 4 - 1e-9)).cast("byte")
+
+
+def _least_shared(n: Column, m: Column, threshold: float) -> Column:
+    """Words that similar sets of n and m words share at least."""
+    return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def _spare(n: Column) -> Column:
+    return F.least(F.lit(SPARE), F.floor(n / SPARE_WORDS))
+
+
+def _last_place(n: Column, threshold: float) -> Column:
+    """The place up to which the first word shared with any similar set is."""
+    return n - F.ceil(n * threshold - 1e-9)
 
 
 def _described(sets: DataFrame, threshold: float) -> DataFrame:
-    """leader, n (words), p (prefix length), keys (hashes of the prefix and DEEPER more words) and map (MAP_LONGS numbers) of sets with words."""
-    rank = _frequencies(sets)
-    ordered = F.sort_array(F.transform("words", lambda w: F.struct(
-        rank[F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")].alias("f"), F.xxhash64(w).alias("h"))))
-    n = F.size("words")
-    p = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    spots = F.transform("words", lambda w: F.pmod(F.shiftright(F.xxhash64(w), 16), F.lit(64 * MAP_LONGS)).cast("int"))
+    """set, n (words), keys (of the words at the places that may be looked at) and the map of sets with words.
+
+    A key is the frequency class and 56 bits of the word's hash, so keys are in the order of the words.
+    """
+    classes = _frequencies(sets)
 
-    def part(i: int) -> Column:
-        mine = F.filter("spots", lambda s: F.floor(s / 64) == i)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, s: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), s % 64)))
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        place = F.pmod(h, F.lit(BUCKETS)).cast("int") + 1
+        rare = F.ascii(F.substring(classes, place, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rare, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = sets.where(F.size("words") > 0).select("leader", n.alias("n"), p.alias("p"), ordered.alias("ordered"), spots.alias("spots"))
-    return stored(rows.select(
-        "leader", "n", "p", F.transform(F.slice("ordered", F.lit(1), F.col("p") + DEEPER), lambda s: s["h"]).alias("keys"),
-        F.array(*[part(i) for i in range(MAP_LONGS)]).alias("map")))
+    def toggled(bits: Column, k: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 20).bitwiseAND(F.lit(63)).cast("int")))
 
+    split = sets.select("set", _words().alias("words"))
+    rows = split.select("set", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("ordered"))
+    places = (_last_place(F.col("n"), threshold) + 1 + F.greatest(_spare(F.col("n")), F.lit(DEEPER))).cast("int")
+    return stored(rows.select("set", "n", F.slice("ordered", F.lit(1), places).alias("keys"), F.aggregate("ordered", F.lit(0).cast("long"), toggled).alias("map")))
 
-def _may_be_similar(threshold: float, level: int) -> Column:
-    """Whether sets (n words, shared one at place ``at``, ``map``) and (m, ``there``, ``other``) can be similar, from these alone.
 
-    Under the first words that two sets share (one more than ``level``), all else that they share comes later in both; under others the place
-    says nothing, but similar sets meet under those too. Each bit in which the maps differ is a word of one set only.
+def _filed(described: DataFrame, threshold: float, paired: int) -> tuple[DataFrame, DataFrame]:
+    """key, set, n, at and map: a set under its first words, those of up to ``paired`` sets and others.
+
+    The others are joined with a class of sizes: the set's own and those of the smaller sets that are similar in size. Where the set can only
+    be the larger one of a pair, n is negative.
     """
-    sizes = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
-    later = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) + level >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
-    differ = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("other")[i])) for i in range(MAP_LONGS)), F.lit(0))
-    return sizes & later & (differ <= (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    size = F.col("n")
+    width = math.log(max(1 / threshold, 1.01))
+    own = F.floor(F.log(size.cast("double")) / width + 1e-9).cast("int")
+    least = F.greatest(F.lit(1), F.ceil(size * threshold - 1e-9))
+    lowest = F.floor(F.log(least.cast("double")) / width + 1e-9).cast("int")
+    classes = described.select("*", own.alias("own"), lowest.alias("lowest"), least.alias("least"))
+    places = (_last_place(size, threshold) + 1 + _spare(size)).cast("int")
+    words = classes.select("set", "n", "map", "own", "lowest", "least", F.posexplode(F.slice("keys", F.lit(1), places)).alias("at", "key"))
+    frequency = F.shiftright("key", 56)  # 0: in no other set
+    common = frequency > _frequency_class(F.lit(paired))
+    rare = words.where((frequency > 0) & ~common).select("key", "set", "n", "at", "map")
+    by_size = words.where(common).select("*", F.explode(F.sequence("lowest", "own")).alias("class"))
+    smallest = F.greatest("least", F.floor(F.exp(F.col("class") * width) - 1e-6))  # of the sets that this one can meet as the larger one
+    near = F.col("at") <= size - _least_shared(size, smallest, threshold) + _spare(size)
+    return rare, by_size.where(near).select(
+        F.xxhash64("key", "class").alias("key"), "set", F.when(F.col("class") == F.col("own"), size).otherwise(-size).alias("n"), "at", "map")
+
+
+def _met(rows: DataFrame, threshold: float, level: int) -> DataFrame:
+    """Pairs (set, n, head) of sets, the smaller one first, that meet under a key and may be similar, once for each key."""
+    other = rows.withColumnsRenamed({c: "head" if c == "set" else f"other_{c}" for c in rows.columns if c != "key"})
+    n, m = F.col("n"), F.abs("other_n")
+    # A set that is only looked from (n below 0) fails the sizes' test. Each test has columns of both sides, so that both are one exchange.
+    order = (n < m) | ((n == m) & (F.col("set") < F.col("head")))
+    sizes = n >= m * threshold - 1e-9
+    shared = _least_shared(n, m, threshold)
+    more = F.lit(level) if level else _spare(n)
+    places = (F.col("at") <= n - shared + more) & (F.col("other_at") <= m - shared + more)
+    pairs = rows.join(other, "key").where(sizes & order & places & _maps_alike(n, m, threshold))
+    return (pairs.where("label != other_label") if "label" in rows.columns else pairs).select("set", "n", "head")
+
+
+def _maps_alike(n: Column, m: Column, threshold: float) -> Column:
+    """Each bit in which the maps differ is a word of one set only."""
+    return F.bit_count(F.col("map").bitwiseXOR(F.col("other_map"))) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (leader, head) whose sets are similar, by their words."""
+    """The pairs (set, head) whose sets are similar, by their words, as links (leader, head)."""
+    pairs = cut_lineage(pairs.select(F.greatest("set", "head").alias("leader"), F.least("set", "head").alias("head")).distinct())
+    ends = cut_lineage(pairs.select(F.col("leader").alias("set")).unionAll(pairs.select(F.col("head").alias("set"))).distinct())
+    many = ends.count()
+    if not many:
+        return pairs
+    some = stored(sets.select("set", "words").join(_sent_if_few(ends, many), "set", "left_semi"))
     # A set that meets very many others is a skewed partition, which adaptive execution splits.
-    a, b = (sets.select(F.col("leader").alias(name), F.col("words").alias(words)) for name, words in (("leader", "wordsa"), ("head", "wordsb")))
-    both = pairs.distinct().join(a, "leader").join(b, "head")
+    a, b = (some.select(F.col("set").alias(name), F.col("words").alias(words)) for name, words in (("leader", "wordsa"), ("head", "wordsb")))
+    both = pairs.join(a, "leader").join(b, "head").select("leader", "head", _words("wordsa").alias("wordsa"), _words("wordsb").alias("wordsb"))
     common = F.size(F.array_intersect("wordsa", "wordsb"))
     return cut_lineage(both.where(common / (F.size("wordsa") + F.size("wordsb") - common) >= threshold).select("leader", "head"))
 
 
 def similar_links(sets: DataFrame, threshold: float, paired: int = PAIRED) -> DataFrame:
-    """Links (leader, head) between similar sets: any two similar sets are connected by them. ``sets`` has leader and words, all different.
+    """Links (leader, head) between similar sets: any two similar sets are connected by them. ``sets`` has set, a number, and words, joined by
+    blanks and all different.
 
     ``paired`` changes the work, not what is connected.
     """
     described = _described(sets, threshold)
-    rows = described.select("leader", "n", "map", F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("at", "key"))
-    links, labels = None, None
+    rare, rows = _filed(described, threshold, paired)
+    links = None
     for level in range(DEEPER + 1):
-        held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-        shared = stored(rows.join(held, "key"))
-        few = shared.where(F.col("held") <= paired) if level < DEEPER else shared
-        found = _verified(_pairs(few, threshold, level, labels), sets, threshold)
+        crowded = _crowded(rows, threshold, paired, level)
+        hot = None if crowded is None else stored(rows.join(crowded, "key"))
+        met = _met(rows if hot is None else rows.join(crowded, "key", "left_anti"), threshold, level)
+        likely = met.select("set", "head") if level else _met_often(met.unionAll(_met(rare, threshold, level)), hot, threshold)
+        found = _verified(likely if hot is None else likely.unionAll(_with_one(hot, threshold)), sets, threshold)
         links = found if links is None else links.unionAll(found)
-        hot = shared.where(F.col("held") > paired)
-        if level == DEEPER or hot.isEmpty():
+        if hot is None:
             break
-        # One set of each hot word meets all the others of its size; the words whose sets are all connected then are done with.
-        heads = hot.groupBy("key").agg(F.min_by(F.struct("leader", "n", "at", "map"), F.struct(F.xxhash64("leader"), "leader")).alias("h"))
-        named = heads.select("key", *[F.col(f"h.{c}").alias(to) for c, to in _OTHER.items()])
-        near = hot.join(named, "key").where((F.col("leader") != F.col("head")) & _may_be_similar(threshold, level))
-        links = links.unionAll(_verified(near.select(F.greatest("leader", "head").alias("leader"), F.least("leader", "head").alias("head")), sets, threshold))
-        labels = follow_links(links)
-        labelled = cut_lineage(hot.join(labels, "leader", "left").withColumn("label", F.coalesce("label", "leader")))
+        labels = follow_links(links).withColumnRenamed("leader", "set")
+        labelled = cut_lineage(hot.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")))
         apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(apart, "key").select("key", "leader", "n", "at", "map")
-        later = left.join(described.select("leader", "keys", "p"), "leader").select(
-            "leader", "n", "map", "key", "at", F.posexplode(F.slice("keys", F.lit(1), F.col("p") + level + 1)).alias("next", "word"))
-        rows = later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "leader", "n", "map", F.col("next").alias("at"))
+        places = (_last_place(F.abs("n"), threshold) + 2 + level).cast("int")
+        later = labelled.join(apart, "key").join(described.select("set", "keys"), "set").select(
+            "key", "set", "n", "at", "map", "label", F.posexplode(F.slice("keys", F.lit(1), places)).alias("next", "word"))
+        rows = stored(later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "set", "n", F.col("next").alias("at"), "map", "label"))
     return links
 
 
-_OTHER = {"leader": "head", "n": "m", "at": "there", "map": "other"}  # columns of the second set of a pair
+def _crowded(rows: DataFrame, threshold: float, paired: int, level: int) -> DataFrame | None:
+    """Keys under which more than ``paired`` sets may be the smaller one of a pair; None if there are none, or on the last level."""
+    if level == DEEPER:
+        return None
+    crowded = stored(rows.where(_first(threshold, level)).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > paired).select("key"))
+    many = crowded.count()
+    return _sent_if_few(crowded, many) if many else None
+
+
+def _sent_if_few(keys: DataFrame, many: int) -> DataFrame:
+    """Keys to be joined with many rows, which aren't shuffled for a few."""
+    return F.broadcast(keys) if many <= SMALL_ROWS else keys.hint("merge")
+
+
+def _first(threshold: float, level: int) -> Column:
+    """Whether a set may be the smaller one of a pair here."""
+    n = F.col("n")
+    return (n > 0) & (F.col("at") <= n - _least_shared(n, n, threshold) + (F.lit(level) if level else _spare(n)))
+
+
+def _met_often(pairs: DataFrame, hot: DataFrame | None, threshold: float) -> DataFrame:
+    """Pairs (set, head) that met under as many words as similar sets do, less those words under which the smaller one's pairs are not formed."""
+    met = pairs.groupBy("set", "head", "n").agg(F.count(F.lit(1)).alias("met"))
+    if hot is None:
+        return met.where(F.col("met") > _spare(F.col("n"))).select("set", "head")
+    unseen = hot.where(_first(threshold, 0)).groupBy("set").agg(F.count(F.lit(1)).alias("unseen"))
+    return met.join(unseen, "set", "left").where(F.col("met") + F.coalesce("unseen", F.lit(0)) > _spare(F.col("n"))).select("set", "head")
 
 
-def _pairs(shared: DataFrame, threshold: float, level: int, labels: DataFrame | None) -> DataFrame:
-    """Pairs (leader, head) of sets under one key that may be similar and aren't connected yet."""
-    left = shared.select("key", *_OTHER)
-    if labels is not None:
-        left = left.join(labels, "leader", "left").withColumn("label", F.coalesce("label", "leader"))
-    right = left.withColumnsRenamed(_OTHER | {"label": "group"})
-    pairs = left.join(right, "key").where((F.col("leader") > F.col("head")) & _may_be_similar(threshold, level))
-    return (pairs if labels is None else pairs.where("label != group")).select("leader", "head")
+def _with_one(hot: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (set, head) of one set of each key with all the others that may be similar."""
+    one = hot.groupBy("key").agg(F.min_by(F.struct("set", "n", "map"), F.struct(F.xxhash64("set"), "set")).alias("one"))
+    named = one.select("key", F.col("one.set").alias("head"), F.col("one.n").alias("other_n"), F.col("one.map").alias("other_map"))
+    n, m = F.abs("n"), F.abs("other_n")
+    near = (F.col("set") != F.col("head")) & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & _maps_alike(n, m, threshold)
+    return hot.join(named, "key").where(near).select("set", "head")
 
 
 def cluster_similar(postings: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -128,11 +217,19 @@ def cluster_similar(postings: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Equal word sets collapse first, so copies cost one row. Postings without words are one cluster.
     """
-    keyed = postings.select("id", word_set(F.concat_ws(" ", "title", "company_name", "description_text")).alias("words")).withColumn(
-        "set_key", F.sha2(F.array_join(F.array_sort("words"), " "), 256))
-    sets = stored(keyed.groupBy("set_key").agg(F.min("id").alias("leader"), F.min_by("words", "id").alias("words")))
-    labels = follow_links(similar_links(sets.select("leader", "words"), threshold))
-    clusters = sets.join(labels, "leader", "left").select("set_key", F.coalesce("label", "leader").alias("cluster_id"))
+    joined = F.array_join(word_set(F.concat_ws(" ", "title", "company_name", "description_text")), " ")
+    keyed = stored(postings.select("id", joined.alias("words")).select("id", F.unhex(F.sha2("words", 256)).alias("set_key"), "words"))
+    sets = stored(keyed.groupBy("set_key").agg(F.min("id").alias("leader"), F.min("words").alias("words")).withColumn(
+        "set", F.monotonically_increasing_id()))
+    links = similar_links(sets.where("leader IS NOT NULL AND words != ''").select("set", "words"), threshold)
+    named = sets.select("set", "leader").where("leader IS NOT NULL")
+    # Sets of one id are one node.
+    again = named.groupBy("leader").agg(F.min("set").alias("first"), F.max("set").alias("last")).where("first < last").select("leader", "first")
+    again = spread_join(named, again, ["leader"]).select(F.col("set").alias("leader"), F.col("first").alias("head")).where("leader != head")
+    labels = follow_links(links.unionAll(again)).withColumnRenamed("leader", "set")
+    reached = labels.join(named, "set")
+    names = spread_join(reached.select("set", "label"), reached.groupBy("label").agg(F.min("leader").alias("name")), ["label"]).select("set", "name")
+    clusters = sets.join(names, "set", "left").select("set_key", F.coalesce("name", "leader").alias("cluster_id"))
     return spread_join(keyed.select("id", "set_key"), clusters, ["set_key"]).select("id", "cluster_id")
 
 

@@ -63,3 +63,21 @@ def test_no_rows_and_no_words(spark):
     assert similar.cluster_similar(spark.createDataFrame([], SCHEMA)).collect() == []
     df = spark.createDataFrame([("2", None, None, None), ("1", " ", "", "..."), ("3", "x", None, None)], SCHEMA)
     assert {r.id: r.cluster_id for r in similar.cluster_similar(df).collect()} == {"1": "1", "2": "1", "3": "3"}
+
+
+def test_sets_that_share_a_few_rare_words_fetch_no_words(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2500)]
+    texts = [" ".join(rng.sample(words, 500)) for _ in range(30)]
+    texts.append(texts[0] + " another")
+    fetched, verified = [], similar._verified
+
+    def counted(pairs, *rest):
+        fetched.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    rows = [(f"{i:02d}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, "", None, t) for i, t in rows], SCHEMA)
+    assert {r.id: r.cluster_id for r in similar.cluster_similar(df).collect()} == _clusters(rows, 0.8)
+    assert sum(fetched) < 30
