@@ -7,8 +7,9 @@ the words that both have among these places; it is left if sizes or 64-bit maps
 than 1 + e were met. Only what is left fetches words.
 
 Words of many sets are met by size too: a set is filed under its own class of sizes and looked for from there and from larger ones.
-Where very many sets still meet, they are not paired out. They are compared with one of them, and if that doesn't link them all, they
-meet again under that word and a later one, for which there is one place more; words that all their sets are linked under are done with.
+Where very many sets still meet, they are not paired out. They are compared with one of them. Words that all their sets are linked under then
+are done with; where few sets are apart from the largest linked group, only these meet all others. The rest meet again under that word and a
+later one, for which there is one place more.
 """
 
 from __future__ import annotations
@@ -112,23 +113,26 @@ def _filed(described: DataFrame, threshold: float, paired: int) -> tuple[DataFra
         F.xxhash64("key", "class").alias("key"), "set", F.when(F.col("class") == F.col("own"), size).otherwise(-size).alias("n"), "at", "map")
 
 
-def _met(rows: DataFrame, threshold: float, level: int) -> DataFrame:
-    """Pairs (set, n, head) of sets, the smaller one first, that meet under a key and may be similar, once for each key."""
-    other = rows.withColumnsRenamed({c: "head" if c == "set" else f"other_{c}" for c in rows.columns if c != "key"})
-    n, m = F.col("n"), F.abs("other_n")
-    # A set that is only looked from (n below 0) fails the sizes' test. Each test has columns of both sides, so that both are one exchange.
-    order = (n < m) | ((n == m) & (F.col("set") < F.col("head")))
+def _met(rows: DataFrame, others: DataFrame | None, threshold: float, level: int) -> DataFrame:
+    """Pairs (set, n, head) of a set and a larger one of ``others`` (of the same rows if None) that meet under a key and may be similar, once for each key."""
+    a, b = rows.alias("a"), (rows if others is None else others).alias("b")
+    n, m, shared_by = F.col("a.n"), F.abs("b.n"), F.col("a.key") == F.col("b.key")
+    # A set that can only be the larger one (n below 0) fails the sizes' test. No test is of one side alone and no column renamed before the join:
+    # rows that meet each other are shuffled once.
+    order = (n < m) | ((n == m) & (F.col("a.set") < F.col("b.set")))
     sizes = n >= m * threshold - 1e-9
     shared = _least_shared(n, m, threshold)
     more = F.lit(level) if level else _spare(n)
-    places = (F.col("at") <= n - shared + more) & (F.col("other_at") <= m - shared + more)
-    pairs = rows.join(other, "key").where(sizes & order & places & _maps_alike(n, m, threshold))
-    return (pairs.where("label != other_label") if "label" in rows.columns else pairs).select("set", "n", "head")
+    places = (F.col("a.at") <= n - shared + more) & (F.col("b.at") <= m - shared + more)
+    near = sizes & order & places & _maps_alike(F.col("a.map"), F.col("b.map"), n + m, threshold)
+    if "label" in rows.columns:
+        near = near & (F.col("a.label") != F.col("b.label"))
+    return a.join(b, shared_by).where(near).select(F.col("a.set").alias("set"), F.col("a.n").alias("n"), F.col("b.set").alias("head"))
 
 
-def _maps_alike(n: Column, m: Column, threshold: float) -> Column:
+def _maps_alike(one: Column, other: Column, words: Column, threshold: float) -> Column:
     """Each bit in which the maps differ is a word of one set only."""
-    return F.bit_count(F.col("map").bitwiseXOR(F.col("other_map"))) <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    return F.bit_count(one.bitwiseXOR(other)) <= words * ((1 - threshold) / (1 + threshold)) + 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -157,23 +161,39 @@ def similar_links(sets: DataFrame, threshold: float, paired: int = PAIRED) -> Da
     links = None
     for level in range(DEEPER + 1):
         crowded = _crowded(rows, threshold, paired, level)
-        hot = None if crowded is None else stored(rows.join(crowded, "key"))
-        met = _met(rows if hot is None else rows.join(crowded, "key", "left_anti"), threshold, level)
-        likely = met.select("set", "head") if level else _met_often(met.unionAll(_met(rare, threshold, level)), hot, threshold)
-        found = _verified(likely if hot is None else likely.unionAll(_with_one(hot, threshold)), sets, threshold)
+        left, met = None, _met(rows if crowded is None else rows.join(crowded, "key", "left_anti"), None, threshold, level)
+        if crowded is not None:
+            hot = stored(rows.join(crowded, "key"))
+            found = _verified(_with_one(hot, threshold), sets, threshold)
+            links = found if links is None else links.unionAll(found)
+            labels = follow_links(links).withColumnRenamed("leader", "set")
+            left, apart = _grouped(hot.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), paired)
+            for smaller, larger in apart:
+                met = met.unionAll(_met(smaller, larger, threshold, level))
+        likely = met.select("set", "head") if level else _met_often(met.unionAll(_met(rare, None, threshold, level)), left, threshold)
+        found = _verified(likely, sets, threshold)
         links = found if links is None else links.unionAll(found)
-        if hot is None:
+        if left is None or left.isEmpty():
             break
-        labels = follow_links(links).withColumnRenamed("leader", "set")
-        labelled = cut_lineage(hot.drop("label").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")))
-        apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         places = (_last_place(F.abs("n"), threshold) + 2 + level).cast("int")
-        later = labelled.join(apart, "key").join(described.select("set", "keys"), "set").select(
+        later = left.join(described.select("set", "keys"), "set").select(
             "key", "set", "n", "at", "map", "label", F.posexplode(F.slice("keys", F.lit(1), places)).alias("next", "word"))
         rows = stored(later.where("next > at").select(F.xxhash64("key", "word").alias("key"), "set", "n", F.col("next").alias("at"), "map", "label"))
     return links
 
 
+def _grouped(hot: DataFrame, paired: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """Rows under keys of more than ``paired`` sets besides the largest linked group, and the sides of pairs (smaller, larger) under the others."""
+    hot = stored(hot)
+    groups = hot.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("held", "label")).alias("most"), F.sum("held").alias("held")).select(
+        "key", F.col("most.label").alias("most"), (F.col("held") - F.col("most.held")).alias("others"))
+    largest = stored(largest.where("others > 0"))
+    few = hot.join(largest.where(F.col("others") <= paired).select("key", "most"), "key")
+    others, most = few.where("label != most").drop("most"), few.where("label = most").drop("most")
+    return stored(hot.join(largest.where(F.col("others") > paired).select("key"), "key")), [(others, few.drop("most")), (most, others)]
+
+
 def _crowded(rows: DataFrame, threshold: float, paired: int, level: int) -> DataFrame | None:
     """Keys under which more than ``paired`` sets may be the smaller one of a pair; None if there are none, or on the last level."""
     if level == DEEPER:
@@ -194,12 +214,15 @@ def _first(threshold: float, level: int) -> Column:
     return (n > 0) & (F.col("at") <= n - _least_shared(n, n, threshold) + (F.lit(level) if level else _spare(n)))
 
 
-def _met_often(pairs: DataFrame, hot: DataFrame | None, threshold: float) -> DataFrame:
-    """Pairs (set, head) that met under as many words as similar sets do, less those words under which the smaller one's pairs are not formed."""
+def _met_often(pairs: DataFrame, left: DataFrame | None, threshold: float) -> DataFrame:
+    """Pairs (set, head) that met under as many words as similar sets do, less those under which the smaller one is left to later levels.
+
+    Under other words that were not paired out, all pairs that aren't linked yet were formed.
+    """
     met = pairs.groupBy("set", "head", "n").agg(F.count(F.lit(1)).alias("met"))
-    if hot is None:
+    if left is None:
         return met.where(F.col("met") > _spare(F.col("n"))).select("set", "head")
-    unseen = hot.where(_first(threshold, 0)).groupBy("set").agg(F.count(F.lit(1)).alias("unseen"))
+    unseen = left.where(_first(threshold, 0)).groupBy("set").agg(F.count(F.lit(1)).alias("unseen"))
     return met.join(unseen, "set", "left").where(F.col("met") + F.coalesce("unseen", F.lit(0)) > _spare(F.col("n"))).select("set", "head")
 
 
@@ -208,7 +231,7 @@ def _with_one(hot: DataFrame, threshold: float) -> DataFrame:
     one = hot.groupBy("key").agg(F.min_by(F.struct("set", "n", "map"), F.struct(F.xxhash64("set"), "set")).alias("one"))
     named = one.select("key", F.col("one.set").alias("head"), F.col("one.n").alias("other_n"), F.col("one.map").alias("other_map"))
     n, m = F.abs("n"), F.abs("other_n")
-    near = (F.col("set") != F.col("head")) & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & _maps_alike(n, m, threshold)
+    near = (F.col("set") != F.col("head")) & (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & _maps_alike(F.col("map"), F.col("other_map"), n + m, threshold)
     return hot.join(named, "key").where(near).select("set", "head")
 
 
