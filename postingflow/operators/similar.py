@@ -24,7 +24,7 @@ from postingflow.operators.scan import SMALL_ROWS, spread_join
 from postingflow.session import cut_lineage, stored
 
 BUCKETS = 1 << 20   # words share a frequency by hash: a table of fixed size, one byte each
-PAIRED = 128        # most sets under one word that are paired out
+PAIRED = 128        # most sets under one word that are paired out; twice as many where sizes don't count
 DEEPER = 2          # how many more words hot ones are split by
 SPARE = 4           # most places more, and words to be met besides the first
 SPARE_WORDS = 32    # one for so many words of a set
@@ -90,7 +90,7 @@ def _described(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _filed(described: DataFrame, threshold: float, paired: int) -> tuple[DataFrame, DataFrame]:
-    """key, set, n, at and map: a set under its first words, those of up to ``paired`` sets and others.
+    """key, set, n, at and map: a set under its first words, those of up to twice ``paired`` sets and others.
 
     The others are joined with a class of sizes: the set's own and those of the smaller sets that are similar in size. Where the set can only
     be the larger one of a pair, n is negative.
@@ -104,7 +104,7 @@ def _filed(described: DataFrame, threshold: float, paired: int) -> tuple[DataFra
     places = (_last_place(size, threshold) + 1 + _spare(size)).cast("int")
     words = classes.select("set", "n", "map", "own", "lowest", "least", F.posexplode(F.slice("keys", F.lit(1), places)).alias("at", "key"))
     frequency = F.shiftright("key", 56)  # 0: in no other set
-    common = frequency > _frequency_class(F.lit(paired))
+    common = frequency > _frequency_class(F.lit(2 * paired))
     rare = words.where((frequency > 0) & ~common).select("key", "set", "n", "at", "map")
     by_size = words.where(common).select("*", F.explode(F.sequence("lowest", "own")).alias("class"))
     smallest = F.greatest("least", F.floor(F.exp(F.col("class") * width) - 1e-6))  # of the sets that this one can meet as the larger one
